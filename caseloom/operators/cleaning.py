@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from caseloom.functions.columns import col, number, numeric_columns, require_columns
 from caseloom.operators.profile import present
 from caseloom.operators.quantiles import exact_medians
+from caseloom.operators.splits import content_hash
+from caseloom.session import cut_lineage
 
 # Column names that are always identifiers.
 ID_COLUMNS = ("id", "patient_id", "index")
@@ -60,11 +62,14 @@ def impute_medians(df: DataFrame, target: str | None = None) -> DataFrame:
     return fill_numeric(df, exact_medians(df, features))
 
 
-def clean_table(df: DataFrame, target: str | None = None, impute: bool = True) -> tuple[DataFrame, DataFrame]:
+def clean_table(
+    df: DataFrame, target: str | None = None, impute: bool = True, row_id: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(cleaned rows, report): null targets, duplicate rows, empty and ID columns, median imputation.
 
-    The report has `step, detail, n`.  Cost: one aggregate before and one after removing duplicates,
-    plus the medians.
+    The report has `step, detail, n`.  The rows are shuffled once, to remove duplicates, and written to
+    the checkpoint folder; all later figures read only the columns they need from there.  `row_id`
+    names an extra column with a hash of each row's content.
     """
     if target:
         require_columns(df, [target])
@@ -75,20 +80,22 @@ def clean_table(df: DataFrame, target: str | None = None, impute: bool = True) -
     if dropped:
         steps.append(("dropped_null_target", target, dropped))
     kept = drop_duplicates(drop_null_target(df, target) if target else df)
+    names = kept.columns
+    kept = cut_lineage(kept.withColumn(row_id, content_hash(kept)) if row_id else kept)
     left, *filled = kept.agg(F.count("*"), *[F.count(present(f)) for f in kept.schema]).first()
     if rows - dropped > left:
         steps.append(("removed_duplicates", None, rows - dropped - left))
     counts = dict(zip(kept.columns, filled))
-    empty = [c for c in kept.columns if counts[c] == 0 and c != target]
+    empty = [c for c in names if counts[c] == 0 and c != target]
     ids = [c for c in id_columns(kept) if c not in empty and c != target]
     steps += [("dropped_empty_column", c, 1) for c in empty] + [("dropped_id_column", c, 1) for c in ids]
     cleaned = kept.drop(*[col(c) for c in [*empty, *ids]])
     if impute:
-        gaps = [c for c in numeric_columns(cleaned, but=[target] if target else []) if counts[c] < left]
+        gaps = [c for c in numeric_columns(cleaned, but=[target, row_id]) if counts[c] < left]
         if gaps:
             cleaned = fill_numeric(cleaned, exact_medians(cleaned, gaps))
             steps += [("imputed_median", c, left - counts[c]) for c in gaps]
-    steps += [("final_rows", None, left), ("final_columns", None, len(cleaned.columns))]
+    steps += [("final_rows", None, left), ("final_columns", None, len(names) - len(empty) - len(ids))]
     return cleaned, df.sparkSession.createDataFrame(steps, "step string, detail string, n bigint")
 
 

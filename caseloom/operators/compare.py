@@ -17,6 +17,7 @@ from caseloom.operators.quantiles import grouped_quantiles
 SCATTER_ROWS = 1000
 MAX_CELLS = 200
 TOP_FEATURES = 6
+PAIR_BLOCK = 500
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
@@ -74,7 +75,9 @@ def group_aggregate(df: DataFrame, category: str, value: str, how: str = "mean")
 
 
 def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """`a, b, r` for each pair, from one aggregate."""
+    """`a, b, r` for each pair, from one aggregate per block of pairs."""
+    if len(pairs) > PAIR_BLOCK:
+        return _correlations(df, pairs[:PAIR_BLOCK]).unionByName(_correlations(df, pairs[PAIR_BLOCK:]))
     flat = df.agg(*[F.corr(number(a), number(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return flat.select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.nanvl(F.col(f"r{i}"), F.lit(None).cast("double")).alias("r"))
@@ -86,8 +89,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     """`a, b, r` for all ordered pairs of numeric columns, each over its complete rows."""
     names = list(columns or numeric_columns(df))
     half = _correlations(df, list(combinations_with_replacement(names, 2)))
-    mirrored = half.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
-    return half.unionByName(mirrored)
+    both = F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    return half.select(F.inline(F.when(F.col("a") == F.col("b"), F.slice(both, 1, 1)).otherwise(both)))
 
 
 def target_correlations(df: DataFrame, target: str) -> DataFrame:

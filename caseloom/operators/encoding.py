@@ -10,6 +10,7 @@ from caseloom.functions.columns import col, text_columns
 from caseloom.operators.profile import value_counts
 
 MAX_CATEGORIES = 500
+MAX_LABELS = 10_000
 SEVERE_PCT = 10
 MILD_PCT = 30
 
@@ -57,17 +58,25 @@ def product_flags(df: DataFrame, column: str = "product", prefix: str = "prod_")
     )
 
 
+def label_list(df: DataFrame, target: str, limit: int = MAX_LABELS) -> list[str]:
+    """The distinct values as sorted texts; more than `limit` is an error, not a cut list."""
+    labels = df.where(col(target).isNotNull()).select(col(target).cast("string").alias("label")).distinct()
+    found = [r["label"] for r in labels.limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"{target!r} has more than {limit} distinct values, too many for a class target")
+    return sorted(found)
+
+
 def label_codes(df: DataFrame, target: str) -> DataFrame:
     """`label, code`: the distinct values in sorted order from 0."""
-    labels = df.where(col(target).isNotNull()).select(col(target).cast("string").alias("label")).distinct()
-    found = [r["label"] for r in labels.orderBy("label").collect()]
+    found = label_list(df, target)
     return df.sparkSession.createDataFrame(list(zip(found, range(len(found)))), "label string, code int")
 
 
 def encode_target(df: DataFrame, target: str, labels: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Text target replaced by its code (double); returns the labels in code order."""
     if labels is None:
-        labels = [r["label"] for r in label_codes(df, target).orderBy("code").collect()]
+        labels = label_list(df, target)
     mapping = F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, float(i))])
     code = mapping[col(target).cast("string")] if labels else F.lit(None).cast("double")
     return df.select(*[code.alias(c) if c == target else col(c) for c in df.columns]), list(labels)

@@ -48,6 +48,7 @@ def hash_cuts(hashed: DataFrame, label: str, shares: Sequence[float]) -> DataFra
         .where((F.col("t.goal") > F.col("before")) & (F.col("t.goal") <= F.col("upto")))
         .select(label, "range", "t.pos", (F.col("t.goal") - F.col("before")).alias("nth"))
     )
+    targets = _local_if_small(targets)
     ranked = ranged.join(targets.select(label, "range").distinct(), [label, "range"], "left_semi").withColumn(
         "nth", F.row_number().over(Window.partitionBy(label, "range").orderBy("hash")).cast("bigint")
     )
@@ -57,6 +58,12 @@ def hash_cuts(hashed: DataFrame, label: str, shares: Sequence[float]) -> DataFra
     )
 
 
+def _local_if_small(table: DataFrame, rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """The table as a broadcast of checked size, or unchanged where it has more rows."""
+    found = table.limit(rows + 1).collect()
+    return F.broadcast(table.sparkSession.createDataFrame(found, table.schema)) if len(found) <= rows else table
+
+
 def _with_cuts(df: DataFrame, label: str | None, shares: Sequence[float], seed: int, key: str | None) -> DataFrame:
     """Adds `_hash` and `_cuts` to every row."""
     group = F.lit(0) if label is None else col(label)
@@ -64,11 +71,7 @@ def _with_cuts(df: DataFrame, label: str | None, shares: Sequence[float], seed:
     cuts = hash_cuts(
         hashed.select(F.col("_group"), F.col("_hash").alias("hash")), "_group", shares
     ).withColumnRenamed("cuts", "_cuts")
-    local = cuts.limit(SMALL_TABLE_ROWS + 1).collect()
-    if len(local) <= SMALL_TABLE_ROWS:
-        known = df.sparkSession.createDataFrame(local, cuts.schema)
-        return hashed.join(F.broadcast(known), "_group", "left").drop("_group")
-    return hashed.join(cuts, "_group", "left").drop("_group")
+    return hashed.join(_local_if_small(cuts), "_group", "left").drop("_group")
 
 
 def _position(df: DataFrame) -> Column:

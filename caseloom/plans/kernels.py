@@ -8,7 +8,7 @@ iteration.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -36,16 +36,17 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
     def _transform(self, dataset: DataFrame) -> DataFrame:
         size, gamma, seed = (self.getOrDefault(p) for p in (self.size, self.gamma, self.seed))
 
-        @F.pandas_udf("array<double>")
-        def project(rows: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<double>")
+        def project(rows: pa.Array) -> pa.Array:
             if not len(rows):
-                return pd.Series([], dtype=object)
-            x = np.stack(rows.to_numpy())
+                return pa.array([], pa.list_(pa.float64()))
+            x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
             width = gamma or 1.0 / x.shape[1]
             rng = np.random.default_rng(seed)
             weights = rng.normal(0.0, np.sqrt(2 * width), (x.shape[1], size))
             shift = rng.uniform(0.0, 2 * np.pi, size)
-            return pd.Series(list(np.sqrt(2.0 / size) * np.cos(x @ weights + shift)))
+            values = np.sqrt(2.0 / size) * np.cos(x @ weights + shift)
+            return pa.ListArray.from_arrays(np.arange(0, values.size + 1, size, dtype=np.int32), pa.array(values.ravel()))
 
         source = vector_to_array(F.col(self.getInputCol()))
         return dataset.withColumn(self.getOutputCol(), array_to_vector(project(source)))
@@ -74,7 +75,7 @@ class InsensitiveRegression(
     def _fit(self, dataset: DataFrame):
         c, epsilon, rounds = (self.getOrDefault(p) for p in (self.c, self.epsilon, self.rounds))
         features, label, out = self.getFeaturesCol(), self.getLabelCol(), self.getPredictionCol()
-        data = dataset.select(features, F.col(label).cast("double").alias("__y"))
+        data = dataset.select(features, F.col(label).cast("double").alias("__y")).persist()
         rows = data.count()
         solver = LinearRegression(
             featuresCol=features, labelCol="__goal", weightCol="__weight", predictionCol=out,
@@ -89,4 +90,5 @@ class InsensitiveRegression(
             model = solver.fit(
                 model.transform(data).select(features, "__y", goal.alias("__goal"), weight.alias("__weight"))
             )
+        data.unpersist()
         return model

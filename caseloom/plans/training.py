@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseloom.functions.columns import col, normalise_names, number, split_text_derived
 from caseloom.operators.cleaning import clean_table
-from caseloom.operators.encoding import class_balance, encode_target, with_class_weights
+from caseloom.operators.encoding import class_balance, encode_target, label_list, with_class_weights
 from caseloom.operators.metrics import (
     CLASSIFICATION_METRICS, REGRESSION_METRICS, classification_metrics, parent_importance, recommend, recommend_by_cv, regression_metrics,
 )
@@ -27,7 +27,7 @@ from caseloom.plans.features import FeatureRecipe, fit_features
 from caseloom.plans.models import CV_FOLDS, cross_validate, default_models, scaler_stage
 from caseloom.session import cut_lineage
 
-FOLD, FOLD_SEED = "__fold", 43
+ROW, FOLD, FOLD_SEED = "__row", "__fold", 43
 
 
 @dataclass
@@ -150,12 +150,12 @@ def train(
     problem = detect_problem_type(df, target, task)
     is_class = problem == "classification"
 
-    cleaned, clean_report = clean_table(df, target, impute=False)
-    cleaned = cut_lineage(cleaned)
+    cleaned, clean_report = clean_table(df, target, impute=False, row_id=ROW)
     by_class = target if is_class else None
-    train_rows, test_rows = train_test(cleaned, test_size, stratify=by_class)
+    train_rows, test_rows = train_test(cleaned, test_size, stratify=by_class, key=ROW)
     # Folds are drawn while rows are still distinct; later many rows share the same features.
-    train_rows = assign_folds(train_rows, max(2, folds), stratify=by_class, seed=FOLD_SEED, out=FOLD)
+    train_rows = assign_folds(train_rows, max(2, folds), stratify=by_class, seed=FOLD_SEED, key=ROW, out=FOLD).drop(ROW)
+    test_rows = test_rows.drop(ROW)
 
     ticket_recipe = None
     if task:
@@ -163,12 +163,12 @@ def train(
         train_rows, test_rows = (
             as_numbers(apply_recipe(part, ticket_recipe), target) for part in (train_rows, test_rows)
         )
+        train_rows = cut_lineage(train_rows)  # so that texts are read once, not in every later pass
     was_log = needs_log(train_rows, target, problem)
     labels: list[str] = []
     balance = None
     if is_class:
-        balance = class_balance(cleaned, target)
-        labels = sorted(r["label"] for r in balance.select(F.col("label").cast("string").alias("label")).collect())
+        balance, labels = class_balance(cleaned, target), label_list(cleaned, target)
 
     recipe = fit_features(train_rows.drop(FOLD), target, is_class)
     if not recipe.features:

@@ -55,7 +55,7 @@ def info_sql(table: str, types: dict[str, str], extra: str = "") -> str:
     ])
 
 
-@query("upload_summary", info_sql("orders", ORDER_TYPES, "count(*) AS n_rows, 6 AS n_cols,"))
+@query("upload_summary", info_sql("orders", ORDER_TYPES, "count(*) AS n_rows, CAST(6 AS BIGINT) AS n_cols,"))
 def upload_summary(spark: SparkSession, sf: str) -> DataFrame:
     summary = dataset_summary(read(spark, sf, "orders"))
     return summary.withColumn("sample_values", F.array_join("sample_values", "|"))
@@ -157,7 +157,7 @@ def join_key_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("csv_sink", """
-    SELECT n_nationkey AS key, n_name AS name_a, r_name AS name_b, count(c_custkey) AS customers
+    SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name_a, r_name AS name_b, count(c_custkey) AS customers
     FROM nation JOIN region ON n_nationkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2, 3""")
 def csv_sink(spark: SparkSession, sf: str) -> DataFrame:
     """A joined table written as text and read back."""

@@ -90,8 +90,8 @@ def unique_text_alert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("dataset_totals", """
-    SELECT count(*) AS n_rows, 8 AS n_cols, (2 * count(*) - count(total) - count(urgency) + count(*)) AS missing_values,
-      5 AS numeric_features FROM {dirty} t""")
+    SELECT count(*) AS n_rows, 8::BIGINT AS n_cols, (2 * count(*) - count(total) - count(urgency) + count(*)) AS missing_values,
+      5::BIGINT AS numeric_features FROM {dirty} t""")
 def totals(spark: SparkSession, sf: str) -> DataFrame:
     return dataset_totals(view(spark, sf, "dirty"))
 
@@ -105,7 +105,7 @@ def bins_sql(source: str, value: str, column: str | None = None) -> str:
     """Ten equal-width bins of `value` over the rows of `source`."""
     name = f"'{column}' AS \"column\", " if column else ""
     return f"""
-        SELECT {name} i AS bin_idx, round(lo + i * w, 6) AS lo, round(CASE WHEN i = 9 THEN hi ELSE lo + (i + 1) * w END, 6) AS hi,
+        SELECT {name} CAST(i AS INT) AS bin_idx, round(lo + i * w, 6) AS lo, round(CASE WHEN i = 9 THEN hi ELSE lo + (i + 1) * w END, 6) AS hi,
           count(v) AS count
         FROM (SELECT min({value}) AS lo, max({value}) AS hi, (max({value}) - min({value})) / 10 AS w FROM {source} t) e
         CROSS JOIN (SELECT unnest(range(10)) AS i) k
@@ -132,7 +132,7 @@ def numeric_detail(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("empty_detail", """
-    SELECT 'empty_col' AS name, 'Numeric' AS type, 0.0::DOUBLE AS skewness, 0 AS outliers_count, count(empty_col) AS total_count
+    SELECT 'empty_col' AS name, 'Numeric' AS type, 0.0::DOUBLE AS skewness, 0::BIGINT AS outliers_count, count(empty_col) AS total_count
     FROM {dirty} t""")
 def empty_detail(spark: SparkSession, sf: str) -> DataFrame:
     """An empty column: typed numeric here, so no values and no distribution."""
@@ -163,7 +163,7 @@ def most_frequent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("health_totals", f"""
-    SELECT n AS n_rows, 8 AS n_cols, m AS missing_cells, round_even(m * 100.0 / (n * 8), 2)::DOUBLE AS missing_pct, duplicates
+    SELECT n AS n_rows, 8::BIGINT AS n_cols, m AS missing_cells, round_even(m * 100.0 / (n * 8), 2)::DOUBLE AS missing_pct, duplicates
     FROM (SELECT count(*) AS n, 3 * count(*) - count(total) - count(urgency) AS m FROM {{dirty}} t) a, ({DUPLICATES}) d""")
 def health_totals(spark: SparkSession, sf: str) -> DataFrame:
     return health_report(view(spark, sf, "dirty"))["totals"]
@@ -233,10 +233,10 @@ def defaults(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("scoring_form", """
-    SELECT 'product' AS name, false AS is_numeric, false AS is_text, NULL AS min, NULL AS max, NULL AS mean,
+    SELECT 'product' AS name, false AS is_numeric, false AS is_text, NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL AS mean,
       (SELECT string_agg(DISTINCT p_type, '|' ORDER BY p_type) FROM part) AS options
     UNION ALL SELECT 'case_description', false, true, NULL, NULL, NULL, NULL
-    UNION ALL SELECT 'p_size', true, false, min(p_size), max(p_size), round(avg(p_size), 6), NULL FROM part""")
+    UNION ALL SELECT 'p_size', true, false, min(p_size)::DOUBLE, max(p_size)::DOUBLE, round(avg(p_size), 6), NULL FROM part""")
 def scoring_form(spark: SparkSession, sf: str) -> DataFrame:
     parts = product_flags(read(spark, sf, "part").select("p_size", F.col("p_type").alias("product"))).drop("product")
     fields = scoring_schema(parts.withColumn("text_negativity_score", F.lit(0.0)))

@@ -131,7 +131,7 @@ def tfidf_of_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("product_flags", """
-    SELECT product, count(*) AS cases, sum(flag) AS own_flag, sum(flags) AS all_flags FROM (
+    SELECT product, count(*) AS cases, sum(flag)::BIGINT AS own_flag, sum(flags)::BIGINT AS all_flags FROM (
       SELECT coalesce(product, 'none') AS product, CASE WHEN product IS NULL THEN 0 ELSE 1 END AS flag,
         CASE WHEN product IS NULL THEN 0 ELSE 1 END AS flags FROM {full_cases} c) t GROUP BY 1""")
 def products(spark: SparkSession, sf: str) -> DataFrame:
