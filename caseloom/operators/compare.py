@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -17,7 +18,7 @@ from caseloom.operators.quantiles import grouped_quantiles
 SCATTER_ROWS = 1000
 MAX_CELLS = 200
 TOP_FEATURES = 6
-PAIR_BLOCK = 500
+PAIR_BLOCK, COMPLETE_BLOCK = 10, 200
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
@@ -75,13 +76,34 @@ def group_aggregate(df: DataFrame, category: str, value: str, how: str = "mean")
 
 
 def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """`a, b, r` for each pair, from one aggregate per block of pairs."""
-    if len(pairs) > PAIR_BLOCK:
-        return _correlations(df, pairs[:PAIR_BLOCK]).unionByName(_correlations(df, pairs[PAIR_BLOCK:]))
-    flat = df.agg(*[F.corr(number(a), number(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    """`a, b, r` for each pair.
+
+    Complete columns share their deviations, so one lean aggregate serves many pairs.  With missing
+    values each pair has its own rows; those run in short blocks, as one aggregate with many
+    correlations outgrows compiled code.
+    """
+    names = sorted({c for pair in pairs for c in pair})
+    rows, *filled = df.agg(F.count("*"), *[F.count(number(c)) for c in names]).first()
+    complete = all(n == rows for n in filled)
+    size = COMPLETE_BLOCK if complete else PAIR_BLOCK
+    blocks = [_pair_block(df, pairs[i:i + size], complete) for i in range(0, len(pairs), size)]
+    return reduce(DataFrame.unionByName, blocks)
+
+
+def _pair_block(df: DataFrame, pairs: Sequence[tuple[str, str]], complete: bool) -> DataFrame:
+    if complete:
+        names = sorted({c for pair in pairs for c in pair})
+        flat = df.agg(
+            *[F.stddev_pop(number(c)).alias(f"s{i}") for i, c in enumerate(names)],
+            *[F.covar_pop(number(a), number(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
+        )
+        spread = {c: F.col(f"s{i}") for i, c in enumerate(names)}
+        rs = [F.try_divide(F.col(f"c{i}"), spread[a] * spread[b]) for i, (a, b) in enumerate(pairs)]
+    else:
+        flat = df.agg(*[F.corr(number(a), number(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+        rs = [F.nanvl(F.col(f"r{i}"), F.lit(None).cast("double")) for i in range(len(pairs))]
     return flat.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.nanvl(F.col(f"r{i}"), F.lit(None).cast("double")).alias("r"))
-        for i, (a, b) in enumerate(pairs)
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")) for (a, b), r in zip(pairs, rs)
     ])))
 
 

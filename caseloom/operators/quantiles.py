@@ -1,129 +1,124 @@
 """Exact quantiles that never gather an unbounded set of values in one task.
 
-Spark's `percentile` keeps every distinct value of a group in one aggregation buffer.  Here the
-wanted ranks are first narrowed to short value ranges with mergeable sketches and exact counts; each
-pass is one scan with one-row map-side partial results.  Only the short ranges are read exactly.
+Spark's `percentile` keeps every distinct value of a column in one aggregation buffer.  It is used here
+only below a checked number of values.  Beyond that the wanted ranks are narrowed round by round: a
+mergeable sketch proposes cuts around each rank, an exact count says between which cuts the rank lies,
+and the next round looks only there.  Every pass is one scan whose partial results are small.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom.functions.columns import col, number
 
-EXACT_ROWS = 500_000      # values one exact lookup may hold
-EXACT_TOTAL = 4_000_000   # values all exact lookups of one job may hold
+EXACT_ROWS = 200_000      # values of one column that `percentile` may hold
+EXACT_TOTAL = 2_000_000   # values of all columns of one job
 SKETCH_ACCURACY = 10_000
-
-
-@dataclass
-class _Rank:
-    """One wanted order statistic: the `rank`-th smallest (from 0) value of a column."""
-
-    column: str
-    rank: int
-    size: int                      # values in the open range (low, high)
-    low: float | None = None
-    high: float | None = None
-    below: int = 0                 # values <= low
-    value: float | None = None
-    slack: float = field(default=3.0 / SKETCH_ACCURACY)
-
-    def inside(self, value: Column) -> Column:
-        keep = F.lit(True)
-        if self.low is not None:
-            keep = keep & (value > self.low)
-        if self.high is not None:
-            keep = keep & (value < self.high)
-        return F.when(keep, value)
-
-    @property
-    def range_key(self) -> tuple:
-        return self.column, self.low, self.high
+SLACK = 2.0 / SKETCH_ACCURACY
+Range = tuple[float | None, float | None, int, int]  # low, high (both outside), values <= low, values inside
 
 
 def order_statistics(
-    df: DataFrame, wanted: dict[str, Sequence[int]], sizes: dict[str, int], exact_rows: int = EXACT_ROWS
+    df: DataFrame, wanted: dict[str, Sequence[int]], sizes: dict[str, int]
 ) -> dict[tuple[str, int], float]:
-    """The values at the given 0-based ranks of each (non-null, numeric) column."""
-    ranks = [_Rank(c, r, sizes[c]) for c, rs in wanted.items() for r in dict.fromkeys(rs)]
-    aliases = {c: f"v{i}" for i, c in enumerate(wanted)}
-    data = df.select(*[number(c).alias(a) for c, a in aliases.items()])
-
-    while wide := [r for r in ranks if r.value is None and r.size > exact_rows]:
-        sketched = data.agg(*[
-            F.percentile_approx(
-                r.inside(F.col(aliases[r.column])),
-                [max(0.0, (r.rank - r.below) / r.size - r.slack), min(1.0, (r.rank - r.below + 1) / r.size + r.slack)],
-                SKETCH_ACCURACY,
-            ).alias(f"s{i}")
-            for i, r in enumerate(wide)
-        ]).first()
-        counts = data.agg(*[
-            F.count_if(test).alias(f"n{i}_{j}")
-            for i, r in enumerate(wide)
-            for j, test in enumerate(_cut_tests(r, F.col(aliases[r.column]), sketched[f"s{i}"]))
-        ]).first()
-        for i, r in enumerate(wide):
-            _narrow(r, sketched[f"s{i}"], [r.below + counts[f"n{i}_{j}"] for j in range(4)])
-
-    open_ranges: dict[tuple, list[_Rank]] = {}
-    for r in ranks:
-        if r.value is None:
-            open_ranges.setdefault(r.range_key, []).append(r)
-    for batch in _batches(list(open_ranges.values())):
-        found = data.agg(*[_pick(group, F.col(aliases[group[0].column])).alias(f"g{i}") for i, group in enumerate(batch)]).first()
-        for i, group in enumerate(batch):
-            for r, value in zip(group, found[f"g{i}"]):
-                r.value = value
-    return {(r.column, r.rank): r.value for r in ranks}
-
-
-def _cut_tests(r: _Rank, value: Column, cuts: Sequence[float]) -> list[Column]:
-    inside = r.inside(value)
-    low, high = cuts
-    return [inside < low, inside <= low, inside < high, inside <= high]
-
-
-def _narrow(r: _Rank, cuts: Sequence[float], upto: Sequence[int]) -> None:
-    """`upto`: values < cut0, <= cut0, < cut1, <= cut1, counted over the whole column."""
-    low, high = cuts
-    lt_low, le_low, lt_high, le_high = upto
-    end = r.below + r.size
-    if r.rank < lt_low:
-        r.high, r.size = low, lt_low - r.below
-        r.slack *= 4
-    elif r.rank < le_low:
-        r.value = low
-    elif r.rank < lt_high:
-        r.low, r.high, r.below, r.size = low, high, le_low, lt_high - le_low
-    elif r.rank < le_high:
-        r.value = high
-    else:
-        r.low, r.below, r.size = high, le_high, end - le_high
-        r.slack *= 4
-
-
-def _pick(group: list[_Rank], value: Column) -> Column:
-    """The wanted values of one short range, as an array."""
-    ordered = F.sort_array(F.collect_list(group[0].inside(value)))
-    return F.array(*[F.get(ordered, F.lit(r.rank - r.below)) for r in group])
-
-
-def _batches(groups: list[list[_Rank]]) -> Iterable[list[list[_Rank]]]:
-    batch: list[list[_Rank]] = []
+    """The values at the given 0-based ranks of each (non-null, numeric) column; all are actual values."""
+    open_ranks: dict[tuple[str, int], Range] = {
+        (c, r): (None, None, 0, sizes[c]) for c, rs in wanted.items() for r in rs
+    }
+    found: dict[tuple[str, int], float] = {}
+    data = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(wanted)])
+    names = {c: f"v{i}" for i, c in enumerate(wanted)}
+    while open_ranks:
+        cuts = _proposed_cuts(data, names, open_ranks)
+        counts = _counts_between(data, names, cuts)
+        for (c, r) in list(open_ranks):
+            below = 0
+            for i, n in enumerate(counts[c]):
+                if r < below + n:
+                    break
+                below += n
+            # Buckets alternate: between cuts (even), exactly a cut (odd).
+            if i % 2:
+                found[c, r] = cuts[c][i // 2]
+                del open_ranks[c, r]
+            else:
+                low = cuts[c][i // 2 - 1] if i else None
+                high = cuts[c][i // 2] if i // 2 < len(cuts[c]) else None
+                open_ranks[c, r] = (low, high, below, n)
+    return found
+
+
+def _proposed_cuts(
+    data: DataFrame, names: dict[str, str], open_ranks: dict[tuple[str, int], Range]
+) -> dict[str, list[float]]:
+    """Sorted values around each open rank, from one sketch per column and range."""
+    sketches: dict[tuple[str, Range], list[float]] = {}
+    for (c, r), span in open_ranks.items():
+        spot = (r - span[2] + 0.5) / span[3]
+        sketches.setdefault((c, span), []).extend([max(0.0, spot - SLACK), min(1.0, spot), min(1.0, spot + SLACK)])
+
+    def inside(c: str, span: Range) -> Column:
+        value, keep = F.col(names[c]), F.lit(True)
+        if span[0] is not None:
+            keep = keep & (value > span[0])
+        if span[1] is not None:
+            keep = keep & (value < span[1])
+        return F.when(keep, value)
+
+    row = data.agg(*[
+        F.percentile_approx(inside(c, span), shares, SKETCH_ACCURACY).alias(f"s{i}")
+        for i, ((c, span), shares) in enumerate(sketches.items())
+    ]).first()
+    cuts: dict[str, set[float]] = {}
+    for i, (c, span) in enumerate(sketches):
+        cuts.setdefault(c, set()).update(row[f"s{i}"])
+        cuts[c].update(x for x in span[:2] if x is not None)
+    return {c: sorted(values) for c, values in cuts.items()}
+
+
+def _counts_between(data: DataFrame, names: dict[str, str], cuts: dict[str, list[float]]) -> dict[str, list[int]]:
+    """Per column the values below the first cut, equal to it, between it and the second, and so on."""
+    splits = {
+        c: [-math.inf, *[x for v in values for x in (v, math.nextafter(v, math.inf))], math.inf]
+        for c, values in cuts.items()
+    }
+    # Neighbouring doubles leave no room between two cuts: equal split points are merged.
+    splits = {c: sorted(set(points)) for c, points in splits.items()}
+    columns = list(cuts)
+    placed = Bucketizer(
+        splitsArray=[splits[c] for c in columns], inputCols=[names[c] for c in columns],
+        outputCols=[f"b{i}" for i in range(len(columns))], handleInvalid="keep",
+    ).transform(data)
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("c"), F.when(F.col(names[c]).isNotNull(), F.col(f"b{i}").cast("int")).alias("b"))
+        for i, c in enumerate(columns)
+    ])
+    rows = placed.select(F.inline(entries)).where(F.col("b").isNotNull()).groupBy("c", "b").count().collect()
+    counts = {c: [0] * (2 * len(cuts[c]) + 1) for c in columns}
+    for r in rows:
+        c = columns[r["c"]]
+        start = splits[c][r["b"]]
+        at = bisect_left(cuts[c], start)
+        is_cut = at < len(cuts[c]) and cuts[c][at] == start
+        counts[c][2 * at + 1 if is_cut else 2 * at] += r["count"]
+    return counts
+
+
+def _batches(columns: Iterable[str], sizes: dict[str, int], limit: int) -> Iterator[list[str]]:
+    batch: list[str] = []
     held = 0
-    for group in groups:
-        if batch and held + group[0].size > EXACT_TOTAL:
+    for c in columns:
+        if batch and held + sizes[c] > limit:
             yield batch
             batch, held = [], 0
-        batch.append(group)
-        held += group[0].size
+        batch.append(c)
+        held += sizes[c]
     if batch:
         yield batch
 
@@ -133,25 +128,26 @@ def exact_quantiles(
 ) -> dict[str, dict[float, float | None]]:
     """Linear-interpolation quantiles of numeric columns; nulls and NaN are ignored."""
     columns = list(dict.fromkeys(columns))
+    probs = list(probs)
     if not columns:
         return {}
     counted = df.agg(*[F.count(number(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    sizes = {c: counted[i] for i, c in enumerate(columns)}
-    wanted = {
-        c: [r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))]
-        for c, n in sizes.items() if n > 0
-    }
-    values = order_statistics(df, wanted, sizes, exact_rows) if wanted else {}
-    result: dict[str, dict[float, float | None]] = {}
-    for c, n in sizes.items():
-        result[c] = {}
-        for p in probs:
-            if n == 0:
-                result[c][p] = None
-                continue
-            spot = p * (n - 1)
-            low, high = values[c, math.floor(spot)], values[c, math.ceil(spot)]
-            result[c][p] = low + (high - low) * (spot - math.floor(spot)) if high != low else low
+    sizes = dict(zip(columns, counted))
+    result: dict[str, dict[float, float | None]] = {c: dict.fromkeys(probs) for c in columns}
+    small = [c for c in columns if 0 < sizes[c] <= exact_rows]
+    for batch in _batches(small, sizes, EXACT_TOTAL):
+        row = df.agg(*[F.percentile(number(c), F.array(*map(F.lit, probs))).alias(f"q{i}") for i, c in enumerate(batch)]).first()
+        for c, values in zip(batch, row):
+            result[c] = dict(zip(probs, values))
+    large = [c for c in columns if sizes[c] > exact_rows]
+    if large:
+        spots = {c: [p * (sizes[c] - 1) for p in probs] for c in large}
+        ranks = {c: sorted({f(s) for s in spots[c] for f in (math.floor, math.ceil)}) for c in large}
+        values = order_statistics(df, ranks, sizes)
+        for c in large:
+            for p, spot in zip(probs, spots[c]):
+                low, high = values[c, math.floor(spot)], values[c, math.ceil(spot)]
+                result[c][p] = low + (high - low) * (spot - math.floor(spot)) if high != low else low
     return result
 
 
@@ -167,16 +163,13 @@ def grouped_quantiles(
     Small inputs use Spark's `percentile`.  Otherwise values are counted per (key, value range,
     value), with ranges cut at global quantiles, so a hot group spreads over many tasks.
     """
-    data = df.select(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)], number(value).alias("v"))
-    data = data.where(F.col("v").isNotNull())
     ks = [f"k{i}" for i in range(len(keys))]
-    for k in ks:
-        data = data.where(F.col(k).isNotNull())
-    names = [F.col(f"k{i}").alias(k) for i, k in enumerate(keys)]
+    data = df.select(*[col(k).alias(a) for k, a in zip(keys, ks)], number(value).alias("v")).dropna()
+    names = [F.col(a).alias(k) for k, a in zip(keys, ks)]
     rows = data.count()
     if rows <= exact_rows:
-        quantiles = data.groupBy(*ks).agg(*[F.percentile("v", p).alias(f"q{i}") for i, p in enumerate(probs)])
-        return quantiles.select(*names, *[f"q{i}" for i in range(len(probs))])
+        quantiles = data.groupBy(*ks).agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q"))
+        return quantiles.select(*names, *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))])
 
     ranges = min(10_000, max(16, rows // exact_rows))
     cuts = data.agg(
@@ -193,12 +186,8 @@ def grouped_quantiles(
         F.sum("range_n").over(Window.partitionBy(*ks)).alias("total"),
     )
     within = Window.partitionBy(*ks, "range").orderBy("v")
-    placed = (
-        counted.join(offsets, [*ks, "range"])
-        .select(
-            *ks, "v", "total", "n",
-            (F.col("offset") + F.sum("n").over(within)).alias("upto"),
-        )
+    placed = counted.join(offsets, [*ks, "range"]).select(
+        *ks, "v", "total", "n", (F.col("offset") + F.sum("n").over(within)).alias("upto")
     )
 
     def at(rank: Column) -> Column:

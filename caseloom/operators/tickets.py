@@ -12,6 +12,7 @@ from caseloom.operators.cleaning import fill_numeric
 from caseloom.operators.encoding import MAX_CATEGORIES, categories
 from caseloom.operators.quantiles import exact_medians
 from caseloom.operators.tfidf import MAX_TERMS, Vocabulary, add_tfidf, fit_vocabulary
+from caseloom.session import cut_lineage
 
 # The ticket columns by use ("remedy targeet" is spelled so in the data).
 ID_AND_CONTACT = ("case number", "contact name")
@@ -79,7 +80,8 @@ def as_numbers(df: DataFrame, target: str | None = None) -> DataFrame:
     names = set(dirty_number_columns(df, but=target))
     kinds = dict(df.dtypes)
     return df.select(*[
-        (parse_number(col(c)) if kinds[c] == "string" else number(c)).alias(c) if c in names else col(c)
+        (parse_number(col(c)) if kinds[c] == "string" else number(c)).alias(c)
+        if c in names and (df.schema[c].nullable or kinds[c] == "string") else col(c)
         for c in df.columns
     ])
 
@@ -90,7 +92,8 @@ def clean_numbers(df: DataFrame, target: str | None = None) -> DataFrame:
     The target is left as it is, so a row without target is not given a made-up one.
     """
     numbers = as_numbers(df, target)
-    medians = exact_medians(numbers, dirty_number_columns(df, but=target))
+    may_lack = [c for c in dirty_number_columns(df, but=target) if numbers.schema[c].nullable]
+    medians = exact_medians(numbers, may_lack)
     return fill_numeric(numbers, {c: m or 0.0 for c, m in medians.items()})
 
 
@@ -155,7 +158,7 @@ def prepare_tickets(df: DataFrame, task: str, day_first: bool = False) -> tuple[
     """(features and target, target column, recipe) for one of resolution, priority, owner."""
     if task not in TARGETS:
         raise ValueError(f"task must be one of {sorted(TARGETS)}, not {task!r}")
-    tickets = parse_dates(normalise_names(df), day_first)
+    tickets = cut_lineage(parse_dates(normalise_names(df), day_first))
     recipe = fit_recipe(tickets, task)
     out = apply_recipe(tickets, recipe)
     if recipe.target not in out.columns:

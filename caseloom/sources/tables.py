@@ -41,6 +41,16 @@ def load_table(
     return df
 
 
+def spread_rows(table: DataFrame) -> DataFrame:
+    """A freshly read table over all cores, for work that is heavy per row.
+
+    A file with few row groups gives few tasks.  A table with enough splits is returned unchanged, so
+    large data is not shuffled for this.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseloom.functions.columns import col
+from caseloom.sources.tables import spread_rows
 
 Run = Callable[[SparkSession, str], DataFrame]
 _RUNS: dict[str, Run] = {}
@@ -42,6 +43,11 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def read_spread(spark: SparkSession, sf: str, table: str = "documents") -> DataFrame:
+    """A table for heavy work per row, spread over the cores where its file has few row groups."""
+    return spread_rows(read(spark, sf, table))
+
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -112,12 +118,12 @@ def expand(sql: str) -> str:
     return _fill(sql, name)
 
 
-def view(spark: SparkSession, sf: str, key: str) -> DataFrame:
-    """A view as a DataFrame, over the tables of `sf`."""
+def view(spark: SparkSession, sf: str, key: str, spread: bool = False) -> DataFrame:
+    """A view as a DataFrame, over the tables of `sf` (spread over the cores for heavy work)."""
     inlined = expand(VIEWS[key])
     used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", inlined)]
     text = re.sub(r"\b(FROM|JOIN) (" + "|".join(used) + r")\b", r"\1 {\2}", inlined)
-    return spark.sql(text, **{t: read(spark, sf, t) for t in used})
+    return spark.sql(text, **{t: (read_spread if spread else read)(spark, sf, t) for t in used})
 
 
 def tickets(spark: SparkSession, sf: str, key: str = "cases") -> DataFrame:

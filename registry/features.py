@@ -144,12 +144,12 @@ MI_SQL = information_sql(MI_FEATURES, "outcome")
 
 @query("mutual_information", f"SELECT feature, round(mi, 6) AS mi FROM ({MI_SQL})")
 def mutual_information(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(selection.mutual_information(view(spark, sf, "lines"), MI_FEATURES, "outcome", True))
+    return rounded(selection.mutual_information(view(spark, sf, "lines", spread=True), MI_FEATURES, "outcome", True))
 
 
 @query("permutation_threshold")
 def permutation_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    joint = selection.joint_counts(view(spark, sf, "lines"), MI_FEATURES, "outcome", True)
+    joint = selection.joint_counts(view(spark, sf, "lines", spread=True), MI_FEATURES, "outcome", True)
     return selection.noise_threshold(joint)
 
 
@@ -162,7 +162,7 @@ def permutation_threshold(spark: SparkSession, sf: str) -> DataFrame:
     WHERE pos = 1 AND mi > 0.01""")
 def best_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of three variants per family; the best above 0.01 nats is kept."""
-    raw = selection.mutual_information(view(spark, sf, "lines"), MI_FEATURES, "outcome", True)
+    raw = selection.mutual_information(view(spark, sf, "lines", spread=True), MI_FEATURES, "outcome", True)
     scores = raw.unionByName(raw.select(F.concat("feature", F.lit("_sqrt")).alias("feature"), (F.col("mi") * 0.9).alias("mi")))
     logs = raw.where(F.col("feature") == "l_quantity").select(F.concat("feature", F.lit("_log")).alias("feature"), (F.col("mi") * 1.1).alias("mi"))
     return rounded(selection.best_variants(scores.unionByName(logs), 0.01))
@@ -170,7 +170,7 @@ def best_variants(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("selected_features")
 def selected(spark: SparkSession, sf: str) -> DataFrame:
-    kept, dropped = selection.select_features(view(spark, sf, "lines"), MI_FEATURES, "outcome", True)
+    kept, dropped = selection.select_features(view(spark, sf, "lines", spread=True), MI_FEATURES, "outcome", True)
     rows = [(f, True) for f in kept] + [(f, False) for f in dropped]
     return spark.createDataFrame(rows, "feature string, kept boolean")
 

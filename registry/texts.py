@@ -11,7 +11,7 @@ from caseloom.operators.tfidf import fit_vocabulary, tfidf_long, top_terms
 from caseloom.operators.tickets import (
     add_negativity, add_resolution_hours, add_sla_hours, clean_numbers, feature_drop_list, prepare_tickets,
 )
-from registry.base import query, read, rounded, tickets
+from registry.base import query, read, read_spread, rounded, tickets
 
 
 def words_sql(words) -> str:
@@ -63,7 +63,7 @@ def dirty_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("case_text", "SELECT doc_id, lower(source || ' ' || coalesce(text, '')) AS case_text FROM documents")
 def texts_joined(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", case_text(["source", "text"]).alias("case_text"))
+    return read_spread(spark, sf).select("doc_id", case_text(["source", "text"]).alias("case_text"))
 
 
 WORDS = r"regexp_extract_all(lower({t}), '[\p{L}\p{N}_]+')"
@@ -86,7 +86,7 @@ def negativity_of_events(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT doc_id, {WORDS.replace("{t}", "text")} AS w FROM documents) t""")
 def negativity_of_documents(spark: SparkSession, sf: str) -> DataFrame:
     words = F.size(F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), F.lit(1))).cast("bigint")
-    return rounded(read(spark, sf, "documents").select("doc_id", negativity(F.col("text")).alias("score"), words.alias("words")))
+    return rounded(read_spread(spark, sf).select("doc_id", negativity(F.col("text")).alias("score"), words.alias("words")))
 
 
 def grams_sql(source: str, key: str, text: str) -> str:
@@ -102,7 +102,7 @@ def grams_sql(source: str, key: str, text: str) -> str:
 
 @query("tfidf_terms", f"WITH {grams_sql('documents', 'doc_id', 'text')} SELECT term, n, documents, round(idf, 6) AS idf FROM top")
 def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(top_terms(read(spark, sf, "documents"), F.col("text")))
+    return rounded(top_terms(read_spread(spark, sf), F.col("text")))
 
 
 @query("tfidf_weights", f"""
@@ -110,7 +110,7 @@ def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
     raw AS (SELECT k, g.term, (1 + ln(count(*))) * any_value(idf) AS x FROM grams g JOIN top USING (term) GROUP BY k, g.term)
     SELECT k AS doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY k)), 6) AS weight FROM raw""")
 def tfidf_weights_of_documents(spark: SparkSession, sf: str) -> DataFrame:
-    documents = read(spark, sf, "documents")
+    documents = read_spread(spark, sf)
     return rounded(tfidf_long(documents, "doc_id", F.col("text"), fit_vocabulary(documents, F.col("text"))))
 
 
@@ -123,8 +123,8 @@ def tfidf_weights_of_documents(spark: SparkSession, sf: str) -> DataFrame:
     SELECT k AS message, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY k)), 6) AS weight FROM raw""")
 def tfidf_of_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns weighted with the vocabulary fitted on the documents."""
-    vocabulary = fit_vocabulary(read(spark, sf, "documents"), F.col("text"))
-    messages = read(spark, sf, "conversations").select(
+    vocabulary = fit_vocabulary(read_spread(spark, sf), F.col("text"))
+    messages = read_spread(spark, sf, "conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("message"), "text"
     )
     return rounded(tfidf_long(messages, "message", F.col("text"), vocabulary))
