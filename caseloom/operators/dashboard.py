@@ -173,7 +173,10 @@ def recent_cases(cases: DataFrame, limit: int = RECENT_CASES) -> DataFrame:
     order = [opened.desc_nulls_last(), *_tie(cases)]
     is_older = opened <= F.col("ref") - F.expr("INTERVAL 1 DAY")
     older, has_older = cases.where(is_older), cases.agg(F.max(is_older)).first()[0]
-    chosen = older.orderBy(*order).limit(limit) if has_older else cases.where(F.col("ref").isNotNull()).orderBy(*order)
+    if has_older is None:  # no case has an opening date
+        chosen = cases.limit(0)
+    else:
+        chosen = older.orderBy(*order).limit(limit) if has_older else cases.orderBy(*order)
     return chosen.select(
         *case_fields(cases), F.coalesce(F.date_format(opened, "yyyy-MM-dd"), F.lit("N/A")).alias("last_updated")
     )

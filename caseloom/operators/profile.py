@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from caseloom.functions.columns import (
-    PRODUCT_PREFIX, col, finite, is_fractional, is_numeric, number, numeric_columns, resolve_column,
+    PRODUCT_PREFIX, col, finite, is_numeric, number, numeric_columns, resolve_column,
     split_text_derived,
 )
 from caseloom.functions.values import parse_number, sample_skewness
@@ -29,22 +29,31 @@ def present(field: T.StructField) -> Column:
 
 
 def value_counts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """`column, value, number, n`: how often each non-null value occurs, as text.
+    """`column, value, number, n`: how often each non-null value occurs; `value` is its text.
 
-    Equal values are combined before the shuffle, so a frequent value costs one row per task.
+    Equal values are combined before the shuffle, so a frequent value costs one row per task.  Numbers
+    are compared as numbers and turned into text only once per distinct value.
     """
-    names = set(df.columns if columns is None else columns)
-    entries = [
-        F.struct(
-            F.lit(f.name).alias("column"),
-            present(f).cast("string").alias("value"),
-            (col(f.name).cast("double") if is_numeric(f.dataType) else F.lit(None).cast("double")).alias("number"),
-        )
-        for f in df.schema if f.name in names
-    ]
-    return (
-        df.select(F.inline(F.array(*entries))).where(F.col("value").isNotNull())
-        .groupBy("column", "value").agg(F.max("number").alias("number"), F.count("*").alias("n"))
+    wanted = set(df.columns if columns is None else columns)
+    fields = [f for f in df.schema if f.name in wanted]
+
+    def entry(i: int, f: T.StructField) -> Column:
+        kind = f.dataType.typeName()
+        whole = kind in ("byte", "short", "integer", "long")
+        parts = {"whole": ("bigint", whole), "real": ("double", kind == "double"), "text": ("string", not whole and kind != "double")}
+        return F.struct(F.lit(i).alias("c"), *[
+            (present(f) if used else F.lit(None)).cast(t).alias(name) for name, (t, used) in parts.items()
+        ])
+
+    filled = F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull(), F.lit(False))
+    counted = (
+        df.select(F.inline(F.array(*[entry(i, f) for i, f in enumerate(fields)]))).where(filled)
+        .groupBy("c", "whole", "real", "text").agg(F.count("*").alias("n"))
+    )
+    return counted.select(
+        F.get(F.array(*[F.lit(f.name) for f in fields]), F.col("c")).alias("column"),
+        F.coalesce(F.col("whole").cast("string"), F.col("real").cast("string"), F.col("text")).alias("value"),
+        F.coalesce(F.col("whole").cast("double"), F.col("real")).alias("number"), "n",
     )
 
 

@@ -37,13 +37,12 @@ def classifiers(classes: int, rows: int, effort: float = 1.0, weight: str = "wei
     # logistic fit (Platt).
     machine = LinearSVC(
         featuresCol="kernel_features", weightCol=weight, regParam=1.0 / max(1, rows), maxIter=max(10, round(100 * effort)),
-        predictionCol="svm_prediction", rawPredictionCol="svm_margin", standardization=False,
+        predictionCol="svm_prediction", standardization=False,
     )
     if classes > 2:
         boosting = OneVsRest(classifier=boosting)
         machine = OneVsRest(
-            classifier=machine, featuresCol="kernel_features", weightCol=weight, predictionCol="svm_prediction",
-            rawPredictionCol="svm_margin",
+            classifier=machine, featuresCol="kernel_features", weightCol=weight, predictionCol="svm_prediction"
         )
     return {
         "Logistic Regression": [
@@ -59,7 +58,9 @@ def classifiers(classes: int, rows: int, effort: float = 1.0, weight: str = "wei
         "Support Vector Classifier": [
             FourierFeatures(inputCol=SCALED, outputCol="kernel_features", seed=SEED),
             machine,
-            LogisticRegression(featuresCol="svm_margin", weightCol=weight, maxIter=100),
+            LogisticRegression(
+                featuresCol="rawPrediction", rawPredictionCol="calibrated", weightCol=weight, maxIter=100
+            ),
         ],
     }
 

@@ -42,7 +42,7 @@ def load_table(
 
 
 def spread_rows(table: DataFrame) -> DataFrame:
-    """A freshly read table over all cores, for work that is heavy per row.
+    """A table without shuffles in its plan over all cores, for work that is heavy per row.
 
     A file with few row groups gives few tasks.  A table with enough splits is returned unchanged, so
     large data is not shuffled for this.

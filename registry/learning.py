@@ -17,7 +17,8 @@ from caseloom.plans.features import FeatureRecipe
 from caseloom.plans.models import cross_validate, default_models
 from caseloom.plans.scoring import check_rows, score
 from caseloom.plans.training import FOLD, TrainedRun, evaluate_models, fit_models, load_run, save_run, train
-from registry.base import query, read, read_spread, rounded, tickets, view
+from caseloom.sources.tables import spread_rows
+from registry.base import query, read, rounded, tickets, view
 from registry.combining import scratch
 
 EFFORT = 0.05
@@ -148,18 +149,19 @@ LINE_RECIPE = FeatureRecipe(
 
 def _class_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Weighted training rows with folds, and test rows, of the two-class target."""
-    lines, _ = encode_target(view(spark, sf, "lines", spread=True).withColumnRenamed("outcome", "label"), "label", ["late", "ok"])
+    lines, _ = encode_target(view(spark, sf, "lines").withColumnRenamed("outcome", "label"), "label", ["late", "ok"])
     training, test = train_test(lines, 0.2, stratify="label")
     folded = assign_folds(training, 3, stratify="label", seed=43, out=FOLD)
-    return with_class_weights(LINE_RECIPE.apply(folded, ["label", FOLD]), "label").persist(), LINE_RECIPE.apply(test, ["label"])
+    weighted = with_class_weights(LINE_RECIPE.apply(folded, ["label", FOLD]), "label")
+    return spread_rows(weighted).persist(), LINE_RECIPE.apply(test, ["label"])
 
 
 def _value_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    lines = read_spread(spark, sf, "lineitem")
+    lines = read(spark, sf, "lineitem")
     target = 10 * F.col("l_quantity") * (1 + F.col("l_discount")) + F.col("l_orderkey") % 5
     training, test = train_test(lines.withColumn("label", target), 0.2)
     folded = assign_folds(training, 3, seed=43, out=FOLD)
-    return LINE_RECIPE.apply(folded, ["label", FOLD]).persist(), LINE_RECIPE.apply(test, ["label"])
+    return spread_rows(LINE_RECIPE.apply(folded, ["label", FOLD])).persist(), LINE_RECIPE.apply(test, ["label"])
 
 
 MODELS = {
@@ -200,7 +202,7 @@ def folds_scored(spark: SparkSession, sf: str) -> DataFrame:
 @lru_cache(maxsize=4)
 def _class_run(spark: SparkSession, sf: str) -> TrainedRun:
     return train(
-        view(spark, sf, "lines", spread=True), "outcome", effort=EFFORT, folds=2, only=["Logistic Regression", "Random Forest"],
+        view(spark, sf, "lines"), "outcome", effort=EFFORT, folds=2, only=["Logistic Regression", "Random Forest"],
         priority="f1_macro",
     )
 
@@ -244,7 +246,7 @@ def scored_rows(spark: SparkSession, sf: str) -> DataFrame:
     """All lines scored by the saved and reloaded run."""
     path = scratch(spark, "run")
     save_run(_class_run(spark, sf), path)
-    return score(view(spark, sf, "lines", spread=True).drop("outcome"), load_run(spark, path))
+    return score(view(spark, sf, "lines").drop("outcome"), load_run(spark, path))
 
 
 @query("scored_tickets")
