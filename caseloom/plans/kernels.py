@@ -52,6 +52,23 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         return dataset.withColumn(self.getOutputCol(), array_to_vector(project(source)))
 
 
+class PenaltyByRows(Estimator):
+    """Fits `estimator` with penalty `alpha` divided by the rows of the data at hand (a fold has fewer).
+
+    `by_deviation` makes up for least squares dividing its penalty by the label's deviation.
+    """
+
+    def __init__(self, estimator: Estimator, alpha: float = 1.0, by_deviation: bool = False):
+        super().__init__()
+        self.estimator, self.alpha, self.by_deviation = estimator, alpha, by_deviation
+
+    def _fit(self, dataset: DataFrame):
+        label = F.col(self.estimator.getLabelCol()).cast("double")
+        rows, deviation = dataset.agg(F.count("*"), F.stddev_pop(label)).first()
+        penalty = self.alpha * (deviation if self.by_deviation else 1.0) / max(1, rows)
+        return self.estimator.copy({self.estimator.regParam: penalty}).fit(dataset)
+
+
 class InsensitiveRegression(
     Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable
 ):
@@ -76,18 +93,25 @@ class InsensitiveRegression(
         c, epsilon, rounds = (self.getOrDefault(p) for p in (self.c, self.epsilon, self.rounds))
         features, label, out = self.getFeaturesCol(), self.getLabelCol(), self.getPredictionCol()
         data = dataset.select(features, F.col(label).cast("double").alias("__y")).persist()
-        rows = data.count()
         solver = LinearRegression(
-            featuresCol=features, labelCol="__goal", weightCol="__weight", predictionCol=out,
-            regParam=1.0 / (c * max(1, rows)), elasticNetParam=0.0, standardization=False, solver="normal",
+            featuresCol=features, labelCol="__goal", weightCol="__weight", predictionCol=out, elasticNetParam=0.0,
+            standardization=False, solver="normal",
         )
-        model = solver.fit(data.withColumn("__goal", F.col("__y")).withColumn("__weight", F.lit(1.0)))
+
+        def solve(rows: DataFrame):
+            # Spark averages the loss by weight and divides the penalty by the label's deviation.
+            goal, weight = F.col("__goal"), F.col("__weight")
+            total, first, second = rows.agg(F.sum(weight), F.sum(weight * goal), F.sum(weight * goal * goal)).first()
+            deviation = max(0.0, second / total - (first / total) ** 2) ** 0.5
+            return solver.copy({solver.regParam: deviation / (c * total)}).fit(rows)
+
+        model = solve(data.withColumn("__goal", F.col("__y")).withColumn("__weight", F.lit(1.0)))
         for _ in range(rounds):
             gap = F.col("__y") - F.col(out)
             outside = F.abs(gap) - epsilon
             weight = F.when(outside > 0, 1.0 / F.greatest(outside, F.lit(1e-3))).otherwise(1e-6)
             goal = F.when(outside > 0, F.col("__y") - epsilon * F.signum(gap)).otherwise(F.col(out))
-            model = solver.fit(
+            model = solve(
                 model.transform(data).select(features, "__y", goal.alias("__goal"), weight.alias("__weight"))
             )
         data.unpersist()

@@ -13,7 +13,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 
 from caseloom.operators.metrics import classification_metrics
-from caseloom.plans.kernels import FourierFeatures, InsensitiveRegression
+from caseloom.plans.kernels import FourierFeatures, InsensitiveRegression, PenaltyByRows
 
 RAW, SCALED = "raw_features", "features"
 SEED = 42
@@ -46,7 +46,7 @@ def classifiers(classes: int, rows: int, effort: float = 1.0, weight: str = "wei
         )
     return {
         "Logistic Regression": [
-            LogisticRegression(weightCol=weight, regParam=1.0 / max(1, rows), standardization=False, maxIter=100)
+            PenaltyByRows(LogisticRegression(weightCol=weight, standardization=False, maxIter=100))
         ],
         "Random Forest": [
             RandomForestClassifier(
@@ -65,12 +65,16 @@ def classifiers(classes: int, rows: int, effort: float = 1.0, weight: str = "wei
     }
 
 
-def regressors(rows: int, effort: float = 1.0) -> dict[str, list]:
+def regressors(effort: float = 1.0) -> dict[str, list]:
     trees, boosts = max(5, round(100 * effort)), max(5, round(100 * effort))
     return {
-        "Ridge Regression": [LinearRegression(regParam=1.0 / max(1, rows), elasticNetParam=0.0, standardization=False)],
+        "Ridge Regression": [
+            PenaltyByRows(
+                LinearRegression(elasticNetParam=0.0, standardization=False, solver="normal"), by_deviation=True
+            )
+        ],
         "Huber Regression (Robust)": [
-            LinearRegression(loss="huber", epsilon=1.35, regParam=1e-4 / max(1, rows), maxIter=max(50, round(1000 * effort)))
+            PenaltyByRows(LinearRegression(loss="huber", epsilon=1.35, maxIter=max(50, round(1000 * effort))), alpha=1e-4)
         ],
         "Support Vector Regressor": [
             FourierFeatures(inputCol=SCALED, outputCol="kernel_features", seed=SEED),
@@ -86,7 +90,7 @@ def regressors(rows: int, effort: float = 1.0) -> dict[str, list]:
 
 
 def default_models(problem_type: str, rows: int, classes: int = 2, effort: float = 1.0) -> dict[str, list]:
-    return classifiers(classes, rows, effort) if problem_type == "classification" else regressors(rows, effort)
+    return classifiers(classes, rows, effort) if problem_type == "classification" else regressors(effort)
 
 
 class MacroF1Evaluator(Evaluator):

@@ -24,14 +24,20 @@ def build_session(app: str = "caseloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named in `spark.checkpoint.dir`.
+
+    Only a local session may go without: it uses the context's folder or a new temporary one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="caseloom-ckpt-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    if named:
+        return named
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="caseloom-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -40,6 +46,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Lost executors then cost no recomputation, and later passes read only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/table-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

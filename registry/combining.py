@@ -10,7 +10,7 @@ from caseloom.functions.columns import guess_roles, map_roles, missing_roles
 from caseloom.operators.browse import page_count, paginate, preview, search_rows
 from caseloom.operators.combine import join_tables, pick_join_column, stack_tables
 from caseloom.operators.profile import column_stats, dataset_summary
-from caseloom.session import ensure_checkpoint_dir
+from caseloom.session import checkpoint_folder
 from caseloom.sources.sinks import log_run, run_history, write_csv, write_stats_json
 from caseloom.sources.tables import load_table
 from registry.base import one_row, query, read, union_all, view
@@ -18,7 +18,7 @@ from registry.base import one_row, query, read, union_all, view
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid4().hex}"
 
 
 @query("csv_source", """

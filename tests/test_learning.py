@@ -96,3 +96,34 @@ def test_scoring_checks(spark):
     good, bad = split_valid(df, ["n"], "d")
     assert good.count() == 1
     assert sorted(r["reason"] for r in bad.collect()) == ["d is empty", "n is negative", "n is not a number"]
+
+
+def test_ridge_equals_the_closed_form(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from caseloom.plans.models import regressors
+
+    made = np.random.default_rng(0)
+    x = made.normal(size=(40, 3))
+    x -= x.mean(axis=0)
+    y = x @ [30, -20, 5] + made.normal(size=40) * 40
+    df = spark.createDataFrame([(float(b), Vectors.dense(a)) for a, b in zip(x, y)], ["label", "features"])
+    model = regressors()["Ridge Regression"][0].fit(df)
+    expected = np.linalg.solve(x.T @ x + np.eye(3), x.T @ (y - y.mean()))
+    assert model.coefficients.toArray() == pytest.approx(expected, rel=1e-6)
+
+
+def test_insensitive_regression_ignores_outliers(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from caseloom.plans.kernels import InsensitiveRegression
+
+    made = np.random.default_rng(1)
+    x = made.uniform(-1, 1, 200)
+    y = 3 * x + made.normal(size=200) * 0.05
+    y[:10] += 50
+    df = spark.createDataFrame([(float(b), Vectors.dense([float(a)])) for a, b in zip(x, y)], ["label", "features"])
+    model = InsensitiveRegression().fit(df)
+    assert model.coefficients[0] == pytest.approx(3, abs=0.15) and model.intercept == pytest.approx(0, abs=0.15)
