@@ -148,7 +148,7 @@ def case_fields(cases: DataFrame) -> list[Column]:
         return F.coalesce(col(name).cast("string"), F.lit("N/A")) if name in cases.columns else F.lit("N/A")
 
     def time(name: str) -> Column:
-        return F.coalesce(F.date_format(col(name), "yyyy-MM-dd HH:mm"), F.lit("N/A"))
+        return F.coalesce(F.substring(col(name).cast("string"), 1, 16), F.lit("N/A"))
 
     return [
         text("case number").alias("case_id"), text("subject").alias("subject"),
@@ -178,7 +178,7 @@ def recent_cases(cases: DataFrame, limit: int = RECENT_CASES) -> DataFrame:
     else:
         chosen = older.orderBy(*order).limit(limit) if has_older else cases.orderBy(*order)
     return chosen.select(
-        *case_fields(cases), F.coalesce(F.date_format(opened, "yyyy-MM-dd"), F.lit("N/A")).alias("last_updated")
+        *case_fields(cases), F.coalesce(opened.cast("date").cast("string"), F.lit("N/A")).alias("last_updated")
     )
 
 

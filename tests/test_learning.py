@@ -76,6 +76,11 @@ def test_ticket_run(spark):
     assert run.results.first()["accuracy"] > 0.95
     new = spark.createDataFrame([("a", "outage of the router", "core"), ("b", "question about an invoice", None)], "id string, case_description string, product string")
     assert [r["predicted_class"] for r in score(new, run).orderBy("id").collect()] == ["high", "low"]
+    dated = df.drop("Priority").withColumn("hours_open", F.lit(-1.0))
+    agreed = score(dated, run).join(df.select("Case Number", "Priority"), "Case Number").where("predicted_class = Priority")
+    assert agreed.count() > 190
+    direct = new.withColumn("target_solution_hours", F.lit(24.0 * 45)).withColumn("hours_open", F.lit(5.0))
+    assert score(direct, run).columns[:5] == ["id", "case_description", "product", "target_solution_hours", "hours_open"]
     top = run.top_features(spark).first()["feature"]
     assert top in ("case_description", "target_solution_hours")
 
