@@ -147,12 +147,14 @@ LINE_RECIPE = FeatureRecipe(
 )
 
 
-def _class_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Weighted training rows with folds, and test rows, of the two-class target."""
+def _class_sides(spark: SparkSession, sf: str, folds: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Weighted training rows (with fold ids if asked for), and test rows, of the two-class target."""
     lines, _ = encode_target(view(spark, sf, "lines").withColumnRenamed("outcome", "label"), "label", ["late", "ok"])
     training, test = train_test(lines, 0.2, stratify="label")
-    folded = assign_folds(training, 3, stratify="label", seed=43, out=FOLD)
-    weighted = with_class_weights(LINE_RECIPE.apply(folded, ["label", FOLD]), "label")
+    keep = ["label", FOLD] if folds else ["label"]
+    if folds:
+        training = assign_folds(training, folds, stratify="label", seed=43, out=FOLD)
+    weighted = with_class_weights(LINE_RECIPE.apply(training, keep), "label")
     return spread_rows(weighted).persist(), LINE_RECIPE.apply(test, ["label"])
 
 
@@ -160,8 +162,7 @@ def _value_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     lines = read(spark, sf, "lineitem")
     target = 10 * F.col("l_quantity") * (1 + F.col("l_discount")) + F.col("l_orderkey") % 5
     training, test = train_test(lines.withColumn("label", target), 0.2)
-    folded = assign_folds(training, 3, seed=43, out=FOLD)
-    return spread_rows(LINE_RECIPE.apply(folded, ["label", FOLD])).persist(), LINE_RECIPE.apply(test, ["label"])
+    return spread_rows(LINE_RECIPE.apply(training, ["label"])).persist(), LINE_RECIPE.apply(test, ["label"])
 
 
 MODELS = {
@@ -191,7 +192,7 @@ for _problem, _names in MODELS.items():
 @query("cross_validation")
 def folds_scored(spark: SparkSession, sf: str) -> DataFrame:
     """Three stratified folds of logistic regression, the scaler fitted in each."""
-    training, _ = _class_sides(spark, sf)
+    training, _ = _class_sides(spark, sf, folds=3)
     stages = default_models("classification", training.count(), 2, EFFORT)["Logistic Regression"]
     fitted = cross_validate(training, stages, "robust", "classification", folds=3, fold=FOLD)
     training.unpersist()
