@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from caseloom.llm.tokens import Vocabulary, gather, make_encoder, slices
+from caseloom.llm.tokens import gather, load_vocabulary, make_encoder, slices
 
 FIELDS = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
@@ -80,7 +80,7 @@ def pack(
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    known = Vocabulary.of(docs.sparkSession, vocabulary, pattern)
+    known = load_vocabulary(docs.sparkSession, vocabulary, pattern)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 

@@ -54,10 +54,6 @@ class Vocabulary:
 
     shared: object
 
-    @staticmethod
-    def of(spark: SparkSession, path: str, pattern: str) -> Vocabulary:
-        return Vocabulary(spark.sparkContext.broadcast({"ranks": load_ranks(path), "pattern": pattern, "classes": character_classes()}))
-
     @property
     def _kept(self) -> dict:
         return self.shared.value
@@ -84,6 +80,11 @@ class Vocabulary:
         return kept["bytes"]
 
 
+def load_vocabulary(spark: SparkSession, path: str, pattern: str) -> Vocabulary:
+    """The vocabulary in a rank or tokenizer file, with the pattern that splits texts before the merges."""
+    return Vocabulary(spark.sparkContext.broadcast({"ranks": load_ranks(path), "pattern": pattern, "classes": character_classes()}))
+
+
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs values[start : start + length], one after the other."""
     ends = np.cumsum(lengths)
