@@ -7,9 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from caseloom.llm.bpe import decode, encode
+from caseloom.llm.chat import conversation_digests, format_windows
+from caseloom.llm.nearest import nearest
 from caseloom.llm.packing import pack
+from caseloom.llm.pivots import exact_top
+from caseloom.llm.quality import fold, score_quality, train_quality
 from caseloom.llm.simhash import simhash_components
 from caseloom.llm.substrings import find_repeats
+from caseloom.llm.urls import filter_urls
+from caseloom.llm.warc import archive_round_trip
+
+RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+)
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -21,6 +32,11 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
+    found = archive_round_trip(_read(spark, sf, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_substrings(spark: SparkSession, sf: str) -> DataFrame:
     found = find_repeats(_read(spark, sf, "documents").select("doc_id", "text"), window=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -31,13 +47,68 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    # The five rules of the contract as a table made by SQL: nothing of it grows with the input.
+    rows = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in RULES)
+    return filter_urls(_read(spark, sf, "pages"), spark.sql(f"SELECT * FROM VALUES {rows} AS r(host, path, verdict)"))
+
+
+def op6_collision_ann(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest(_read(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents").select("doc_id", "text")
+    net = train_quality(docs, _read(spark, sf, "labels"))
+    held_out = F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out")
+    return score_quality(docs, net).select("doc_id", held_out, "score", "predicted")
+
+
+def op8_chat(spark: SparkSession, sf: str) -> DataFrame:
+    given = _read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return conversation_digests(format_windows(given.unionByName(extra)))
+
+
+def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = encode(_read(spark, sf, "documents"), path, public_tokenizers.PATTERN)
+    return decode(encoded, path, public_tokenizers.PATTERN).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_pivots(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_top(_read(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_warc": op2_warc,
     "op3_substrings": op3_substrings,
     "op4_packing": op4_packing,
+    "op5_url_filters": op5_url_filters,
+    "op6_collision_ann": op6_collision_ann,
+    "op7_quality": op7_quality,
+    "op8_chat": op8_chat,
+    "op9_bpe": op9_bpe,
+    "op10_pivots": op10_pivots,
 }
 SQL: dict[str, str] = {}
 
+#: Payloads by SHA-1, the largest page_id of equal ones being the response; base 32 digit by digit from the hexadecimal digest.
+SQL["op2_warc"] = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+    d AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS last,
+      list_transform(range(0, 40), lambda i: instr('0123456789abcdef', hex[i + 1]) - 1) AS nibbles FROM p)
+    SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+      array_to_string(list_transform(range(0, 32), lambda g: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(0, 5),
+        lambda k: (((nibbles[1 + (g * 5 + k) // 4] >> (3 - (g * 5 + k) % 4)) & 1) << (4 - k))))::INT]), '') AS payload_digest,
+      CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+    FROM d"""
+
 #: Repeated windows of `documents` judged by their word sequences.
 SQL["op3_substrings"] = r"""
     WITH w AS (
@@ -49,3 +120,74 @@ SQL["op3_substrings"] = r"""
     SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
       sha256(array_to_string(list_filter(words, lambda x, i: NOT coalesce(list_contains(js, i), false)), ' ')) AS kept_sha256
     FROM w LEFT JOIN gone_of USING (r)"""
+
+#: Rules by length; a URL without one is blocked if a canonical or refresh link, followed either way, leads to a blocked one.
+SQL["op5_url_filters"] = rf"""
+    WITH RECURSIVE rules(host, path, verdict) AS (VALUES {", ".join(str(r) for r in RULES)}),
+    parsed AS (
+      SELECT *, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    p AS (
+      SELECT page_id, url, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parsed),
+    targets AS (
+      SELECT url AS a, regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS b FROM p
+      UNION ALL
+      SELECT url, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\bcontent\s*=\s*["'']?[^"''>;]*;\s*url\s*=\s*["'']?([^"''\s>]+)', 1) FROM p),
+    links AS (
+      SELECT regexp_replace(a, '#.*', '') AS a, regexp_replace(CASE WHEN contains(b, '://') THEN b
+        WHEN starts_with(b, '//') THEN split_part(a, ':', 1) || ':' || b ELSE regexp_extract(a, '^[^:]+://[^/?#]*') || b END, '#.*', '') AS b
+      FROM targets WHERE a IS NOT NULL AND b <> '' AND (contains(b, '://') OR starts_with(b, '/'))),
+    edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    ruled AS (
+      SELECT u.url, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+      FROM (SELECT DISTINCT a AS url FROM edges UNION SELECT url FROM p WHERE url IS NOT NULL) u
+      CROSS JOIN rules r
+      CROSS JOIN LATERAL (SELECT lower(regexp_extract(u.url, '://([^/?#]*)', 1)) AS h, regexp_extract(u.url, '://[^/?#]*([^?#]*)', 1) AS t) x
+      WHERE (x.h = r.host OR ends_with(x.h, '.' || r.host)) AND starts_with(x.t, r.path) AND contains(u.url, '://')
+      GROUP BY u.url),
+    reached AS (
+      SELECT regexp_replace(url, '#.*', '') AS node FROM ruled WHERE verdict = 'block'
+      UNION SELECT e.b FROM reached JOIN edges e ON e.a = reached.node)
+    SELECT page_id, host, path, rule,
+      coalesce(verdict, CASE WHEN regexp_replace(p.url, '#.*', '') IN (SELECT node FROM reached) THEN 'block' ELSE 'allow' END) AS verdict
+    FROM p LEFT JOIN ruled ON ruled.url = p.url"""
+
+#: Windows from prefix sums as in chat.format_windows: units of 512 tokens, two turns of history, the first system turn repeated.
+SQL["op8_chat"] = r"""
+    WITH given AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+    pieces AS (
+      SELECT *, '<|im_start|>' || replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C') || chr(10)
+        || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10) AS piece FROM given),
+    counted AS (SELECT *, ((strlen(piece) + 3) // 4)::BIGINT AS tokens FROM pieces),
+    summed AS (
+      SELECT *, row_number() OVER w - 1 AS place, sum(tokens) OVER w - tokens AS start, sum((tokens > 512)::INT) OVER w - (tokens > 512)::INT AS bigs
+      FROM counted WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+    spanned AS (SELECT *, (2 * bigs + (tokens > 512)::INT)::BIGINT * 1099511627776 + (start // 512)::BIGINT AS span FROM summed),
+    spans AS (SELECT conv_id, span, min(place) AS first, min(start) AS begin FROM spanned GROUP BY ALL),
+    system AS (SELECT conv_id, min(place) AS place, arg_min(piece, place) AS piece FROM spanned WHERE role = 'system' GROUP BY ALL),
+    repeated AS (
+      SELECT s.conv_id, length(y.piece) AS chars FROM spans s JOIN system y ON y.conv_id = s.conv_id AND s.first > y.place
+      UNION ALL
+      SELECT s.conv_id, length(t.piece) FROM spans s JOIN spanned t ON t.conv_id = s.conv_id AND t.place BETWEEN s.first - 2 AND s.first - 1 AND s.begin - t.start <= 512
+      WHERE NOT EXISTS (SELECT 1 FROM system y WHERE y.conv_id = t.conv_id AND y.place = t.place)),
+    extra AS (SELECT conv_id, sum(chars) AS chars FROM repeated GROUP BY ALL),
+    whole AS (
+      SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+        coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss, sum(length(piece)) AS chars
+      FROM spanned GROUP BY ALL)
+    SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+      (whole.chars + coalesce(extra.chars, 0))::BIGINT AS formatted_chars
+    FROM whole LEFT JOIN extra USING (conv_id)"""
+
+#: Brute force over all pairs of a query and a row.
+SQL["op10_pivots"] = """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
