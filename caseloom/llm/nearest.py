@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Rows of a shard and queries of a block that meet in one task.
 SHARD, BLOCK = 8192, 1024
@@ -32,8 +32,6 @@ def best_copies(vectors: DataFrame, k: int) -> DataFrame:
 
     The limit is applied before the shuffle, so a vector that a third of all rows share is no hot key.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("vector").orderBy("vec_id")
     return vectors.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
 
@@ -78,8 +76,6 @@ def block_search(data: DataFrame, queries: DataFrame, k: int, search: Callable,
     left = dealt(data, "shard", shards, "block", blocks).groupBy("dim", "shard", "block")
     right = dealt(queries, "block", blocks, "shard", shards).groupBy("dim", "shard", "block")
     hits = left.cogroup(right).applyInArrow(meet, f"query_id bigint, vec_id bigint, score {score_type}")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -97,10 +93,10 @@ def best_of(ids: np.ndarray, at: np.ndarray, scores: np.ndarray, own: int, k: in
 
 
 def collision_search(
-    k: int, arrays: int = 48, threshold: float = 0.7, verified: float = 0.2, width: float = 0.05, growth: float = 1.3, seed: int = 11,
+    k: int, arrays: int = 64, threshold: float = 0.75, verified: float = 0.2, least: int = 1024, width: float = 0.1, growth: float = 1.5, seed: int = 11,
 ) -> Callable:
-    """The search within a shard: widen until `k` plus the share `verified` of the shard collide in at least the share
-    `threshold` of the arrays, then verify those that do."""
+    """The search within a shard: widen until `k` plus the share `verified` of the shard, but at least `least` vectors,
+    collide in at least the share `threshold` of the arrays, then verify those that do."""
     def search(ids, vectors, _, query_ids, queries, __):
         data, asked = vectors.astype(np.float64), queries.astype(np.float64)
         n, dims = data.shape
@@ -109,25 +105,31 @@ def collision_search(
         sphere = np.concatenate([data, np.sqrt(np.maximum(radius ** 2 - norms ** 2, 0))[:, None]], axis=1) / radius
         ask = np.concatenate([asked / np.sqrt((asked ** 2).sum(axis=1))[:, None], np.zeros((len(asked), 1))], axis=1)
         lines = np.random.default_rng(seed).normal(size=(dims + 1, arrays))
-        project, centres = sphere @ lines, ask @ lines
-        order = np.argsort(project, axis=0, kind="stable")
-        values = np.take_along_axis(project, order, axis=0)
-        order = np.ascontiguousarray(order.T)
-        need, enough = int(np.ceil(threshold * arrays)), min(n, k + 1 + int(verified * n))
-        for own, query, centre in zip(query_ids.tolist(), asked, centres):
-            low = high = np.array([np.searchsorted(values[:, j], centre[j]) for j in range(arrays)])
-            counts, reach = np.zeros(n, np.int64), width
-            while True:
-                wider_low = np.array([np.searchsorted(values[:, j], centre[j] - reach, "left") for j in range(arrays)])
-                wider_high = np.array([np.searchsorted(values[:, j], centre[j] + reach, "right") for j in range(arrays)])
-                new = [order[j, wider_low[j]:low[j]] for j in range(arrays)] + [order[j, high[j]:wider_high[j]] for j in range(arrays)]
-                counts += np.bincount(np.concatenate(new), minlength=n)
-                low, high, reach = wider_low, wider_high, reach * growth
-                hit = counts >= need
-                if hit.sum() >= enough:
-                    break
-            at = np.flatnonzero(hit)
-            yield best_of(ids, at, (data[at] * query).sum(axis=1), own, k)
+        project, centres = (sphere @ lines).T, ask @ lines
+        order = np.argsort(project, axis=1, kind="stable")
+        values = np.take_along_axis(project, order, axis=1)
+        need, enough = int(np.ceil(threshold * arrays)), min(n, max(least, k + 1 + int(verified * n)))
+
+        def edges(of: np.ndarray, reach: float, side: str) -> np.ndarray:
+            return np.stack([np.searchsorted(values[j], centres[of, j] + reach, side) for j in range(arrays)], axis=1)
+
+        active, reach = np.arange(len(asked)), width
+        low = high = edges(active, 0.0, "left")
+        counts, done = np.zeros((len(asked), n), np.int16), {}
+        while len(active):
+            wider_low, wider_high = edges(active, -reach, "left"), edges(active, reach, "right")
+            stay = np.ones(len(active), bool)
+            for i, query in enumerate(active.tolist()):
+                new = [order[j, a:b] for j in range(arrays) for a, b in ((wider_low[i, j], low[i, j]), (high[i, j], wider_high[i, j])) if b > a]
+                if new:
+                    counts[query] += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
+                hit = np.flatnonzero(counts[query] >= need)
+                if len(hit) >= enough:
+                    done[query], stay[i] = hit, False
+            active, low, high, reach = active[stay], wider_low[stay], wider_high[stay], reach * growth
+        for i, own in enumerate(query_ids.tolist()):
+            at = done[i]
+            yield best_of(ids, at, (data[at] * asked[i]).sum(axis=1), own, k)
 
     return search
 
