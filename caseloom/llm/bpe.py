@@ -17,11 +17,12 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from caseloom.llm.tokens import gather, load_vocabulary, pretokens, slices
 
 #: Characters of text in a chunk, and bytes of text per bucket of pre-tokens.
-CHUNK, BUCKET = 6 << 20, 16 << 20
+CHUNK, BUCKET = 4 << 20, 16 << 20
 
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -165,4 +166,4 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col: str = "id
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
     given = rows.toDF(*names)
-    return given.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in given.dtypes) + ", decoded binary").toDF(*rows.columns, "decoded")
+    return given.mapInArrow(run, StructType([*given.schema, *StructType.fromDDL("decoded binary")])).toDF(*rows.columns, "decoded")
