@@ -39,9 +39,11 @@ def best_copies(vectors: DataFrame, k: int) -> DataFrame:
 def block_search(data: DataFrame, queries: DataFrame, k: int, search: Callable, score_type: str, seed: int = 0) -> DataFrame:
     """The k best of every query over all rows of `data` (vec_id, vector, ...): each shard meets each block of queries.
 
+    Of query rows that repeat an id the one with the smallest vector is asked.
     `search(ids, vectors, extra, query_ids, query_vectors, query_extra)` gives for each query the positions and scores
     of its best rows of a shard.  A shard's best k per query are merged by rank; vectors meet queries of their length.
     """
+    queries = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     n, q = data.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-q // BLOCK))
 

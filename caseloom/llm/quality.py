@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes whose windows form a chunk, width of a filter, distance of two windows.
 CHUNK, WIDTH, STRIDE = 256, 8, 2
@@ -203,6 +204,6 @@ def score_quality(docs: DataFrame, net: ByteConvNet, text_col: str = "text") ->
 
     names = [f"c{i}" for i in range(len(rows.columns))]
     given = rows.toDF(*names).withColumn("bytes", F.col(names[rows.columns.index(text_col)]).cast("string").cast("binary"))
-    kinds = ", ".join(f"{n} {t}" for n, t in given.dtypes[:-1])
-    out = given.mapInArrow(run, f"{kinds}, score double").toDF(*rows.columns, "score")
+    schema = StructType([*given.schema[:-1], *StructType.fromDDL("score double")])
+    out = given.mapInArrow(run, schema).toDF(*rows.columns, "score")
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 #: Odd multipliers of the two rolling hashes, modulo 2^64: one names the window, the other its bucket.
 NAME_BASE, BUCKET_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -154,8 +155,8 @@ def find_repeats(
 
     sent = dealt.groupBy("chunk").applyInArrow(send, "chunk bigint, bucket bigint, names binary")
     answers = sent.groupBy("bucket").applyInArrow(count, ANSWER)
-    row_type = dealt.schema["row"].dataType.simpleString()
-    schema = f"row {row_type}, text string, n_words bigint, n_removed bigint, removed array<struct<from: bigint, to: bigint>>, kept_text string"
+    added = "text string, n_words bigint, n_removed bigint, removed array<struct<from: bigint, to: bigint>>, kept_text string"
+    schema = StructType([dealt.schema["row"], *StructType.fromDDL(added)])
     out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, schema)
     columns = [F.col("text").alias(text_col) if c == text_col else F.col(f"row.`{c}`") for c in rows.columns]
     return out.select(*columns, "n_words", "n_removed", "removed", "kept_text")
