@@ -164,18 +164,23 @@ def fold(id_col: str) -> Column:
 
 def train_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 1,
-    max_rows: int = 8000, max_row_bytes: int = 1 << 16, **settings,
+    max_rows: int = 8000, max_row_bytes: int = 1 << 15, **settings,
 ) -> ByteConvNet:
     """A net learned from labelled rows outside the fold `held_out`.
 
-    At most `max_rows` rows of at most `max_row_bytes` bytes, the first by a hash of the id, reach the driver; each is
-    used whole.  Rows with a null id, text or label teach nothing; without any row the net is untrained.
+    At most `max_rows` ids, the first of `labels` by a hash of the id, are taken, and their texts of at most
+    `max_row_bytes` bytes reach the driver; each is used whole.  The ids are the only broadcast.  A repeated id counts
+    once, with its largest label and smallest text.  Rows with a null id, text or label teach nothing; without any row
+    the net is untrained.
     """
+    known = labels.where(F.col(label_col).isNotNull() & (fold(id_col) != held_out))
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     rows = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-        .join(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label")), "id")
-        .where((fold("id") != held_out) & (F.octet_length("text") <= max_row_bytes))
-        .orderBy(F.xxhash64("id"), "id", "label", "text").limit(max_rows).select("text", "label").toArrow()
+        texts.where(F.octet_length("text") <= max_row_bytes).join(F.broadcast(chosen), "id")
+        .groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+        .toArrow().sort_by("id")
     )
     return fit(rows.column("text").to_pylist(), np.array(rows.column("label").to_pylist(), np.float32), **settings)
 
