@@ -67,6 +67,12 @@ def number(name: str) -> Column:
     return F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))
 
 
+def finite_number(name: str) -> Column:
+    """The column as a double, with NaN and infinities as NULL."""
+    value = number(name)
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
+
+
 def resolve_column(df: DataFrame, name: str) -> str:
     """Exact column name, else the first that is equal after trimming."""
     if name in df.columns:

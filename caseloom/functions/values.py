@@ -51,12 +51,29 @@ def parse_number(value: Column) -> Column:
     return F.when(value.rlike(NUMBER_PATTERN), F.trim(value).try_cast("double"))
 
 
+# Written dates read beside ISO ones; {d} stands for the numeric day and month in the wanted order.
+DATE_FORMATS = ("yyyy/M/d", "{d}/yyyy", "{d}/yy", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMM d yyyy", "d.M.yyyy", "yyyyMMdd")
+TIME_FORMATS = ("", " H:mm", " H:mm:ss", " h:mm a", " h:mm:ss a")
+OFFSET_PATTERN = r"([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?) ?(Z|[+-]\d{2}:?\d{2})$"
+
+
 def parse_timestamp(value: Column, day_first: bool = False) -> Column:
-    """ISO or slash/dash dates to TIMESTAMP_NTZ; anything else, or an impossible date, is NULL."""
+    """ISO and written dates (DATE_FORMATS, with or without a time) to TIMESTAMP_NTZ; anything else is NULL.
+
+    A time with an offset is turned to UTC.  Impossible dates are NULL.
+    """
     text = F.trim(value.cast("string"))
     order = "$3-$2-$1" if day_first else "$3-$1-$2"
     iso = F.when(text.rlike(SLASH_PATTERN), F.regexp_replace(text, SLASH_PATTERN, order)).otherwise(text)
-    return F.when(iso.rlike(ISO_PATTERN), iso.try_cast("timestamp_ntz"))
+    offset = F.regexp_extract(iso, OFFSET_PATTERN, 4)
+    minutes = F.when(offset.isin("", "Z"), 0).otherwise(
+        F.concat(F.substring(offset, 1, 1), F.lit("1")).try_cast("int")
+        * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.right(offset, F.lit(2)).try_cast("int")))
+    local = F.when(iso.rlike(ISO_PATTERN), F.regexp_replace(iso, OFFSET_PATTERN, "$1").try_cast("timestamp_ntz"))
+    shape = "d/M" if day_first else "M/d"
+    forms = [f.format(d=shape) + t for f in DATE_FORMATS for t in TIME_FORMATS]
+    written = F.coalesce(*[F.try_to_timestamp(F.initcap(text) if "MMM" in f else F.upper(text), F.lit(f)) for f in forms])
+    return F.coalesce(F.timestamp_add("MINUTE", -minutes, local), F.when(local.isNull(), written.cast("timestamp_ntz")))
 
 
 def parse_day_first(value: Column) -> Column:
@@ -89,6 +106,7 @@ def contains_any(text: Column, parts: Sequence[str]) -> Column:
     return found
 
 
+# Fixed values below: the keywords of the status and priority buckets.
 def status_bucket(status: Column) -> Column:
     """Closed, Escalated, Pending or Open by substring; the first rule that fits wins."""
     text = F.lower(F.trim(F.coalesce(status.cast("string"), F.lit(""))))

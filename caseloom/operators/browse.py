@@ -6,12 +6,13 @@ import math
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from caseloom.functions.columns import col, finite, number, require_columns
-from caseloom.operators.quantiles import order_statistics
+from caseloom.functions.columns import col, finite, require_columns
 
 DEEP_PAGE_ROWS = 100_000
+#: Ranges counted in one round of narrowing.
+CUTS = 48
 
 
 def preview(df: DataFrame, rows: int | None = None, order_by: str | None = None) -> DataFrame:
@@ -37,10 +38,11 @@ def page_count(df: DataFrame, size: int) -> int:
 def paginate(
     df: DataFrame, key: str | list[str], page: int = 1, size: int = 15, deep: int = DEEP_PAGE_ROWS
 ) -> DataFrame:
-    """Page `page` (from 1) of `df` in the order of `key`.
+    """Page `page` (from 1) of `df` in the order of `key`, keys of any type, missing ones last.
 
-    Near the start this is a top-k.  Beyond `deep` rows a page on a numeric key first finds the key
-    range of the page by counting, so only that range is sorted.
+    Near the start this is a top-k.  Beyond `deep` rows the key range that holds the page is found by counting rows
+    between cuts drawn from a sample, round by round; only that range is sorted.  Rows with equal keys are told apart by
+    a hash of the row, so a frequent key is narrowed too.
     """
     keys = [key] if isinstance(key, str) else list(key)
     require_columns(df, keys)
@@ -48,19 +50,45 @@ def paginate(
         raise ValueError("page and size start at 1")
     offset = (page - 1) * size
     order = [col(k).asc_nulls_last() for k in keys]
-    if offset + size > deep and dict(df.dtypes)[keys[0]] in ("int", "bigint", "double", "float"):
-        narrowed = _key_range(df, keys[0], offset, size)
-        if narrowed is not None:
-            rows, before = narrowed
-            return rows.orderBy(*order).offset(offset - before).limit(size)
+    if offset + size > deep:
+        rows, before = _page_range(df, keys, offset, size, max(deep, 4 * CUTS))
+        return rows.orderBy("__place").drop("__place").offset(offset - before).limit(size)
     return df.orderBy(*order).offset(offset).limit(size)
 
 
-def _key_range(df: DataFrame, key: str, offset: int, size: int) -> tuple[DataFrame, int] | None:
-    total = df.agg(F.count(number(key))).first()[0]
-    if offset + size > total:
-        return None
-    bounds = order_statistics(df, {key: [offset, offset + size - 1]}, {key: total})
-    low, high = bounds[key, offset], bounds[key, offset + size - 1]
-    before = df.agg(F.count_if(number(key) < low)).first()[0]
-    return df.where((number(key) >= low) & (number(key) <= high)), before
+def _page_range(df: DataFrame, keys: list[str], offset: int, size: int, most: int) -> tuple[DataFrame, int]:
+    """Rows (with `__place`, their place as a struct) of a key range of about `most` rows around the page, and how many lie before."""
+    names = [part for i in range(len(keys)) for part in (f"m{i}", f"k{i}")]
+    parts = [part for k in keys for part in (col(k).isNull(), col(k))] + [F.xxhash64(*[col(c) for c in df.columns])]
+    place = F.struct(*[p.alias(n) for p, n in zip(parts, [*names, "row"])])
+    rows = df.withColumn("__place", place)
+    kinds, before, inside = rows.schema["__place"].dataType, 0, df.count()
+    low = high = None
+
+    def literal(value: Row) -> Column:
+        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(value, kinds)])
+
+    def within(data: DataFrame) -> DataFrame:
+        if low is not None:
+            data = data.where(F.col("__place") >= literal(low))
+        return data if high is None else data.where(F.col("__place") < literal(high))
+
+    while inside > most:
+        drawn = within(rows).select("__place").sample(min(1.0, 32.0 * CUTS / inside), seed=7).orderBy("__place").collect()
+        sample = list(dict.fromkeys(r[0] for r in drawn))
+        cuts = sample[len(sample) // CUTS::max(1, len(sample) // CUTS)] if sample else []
+        if not cuts:
+            break
+        bucket = F.size(F.filter(F.array(*map(literal, cuts)), lambda c: c <= F.col("__place")))
+        counts = dict(within(rows).groupBy(bucket.alias("b")).count().collect())
+        first, upto = 0, before
+        while first < len(cuts) and upto + counts.get(first, 0) <= offset:
+            upto, first = upto + counts.get(first, 0), first + 1
+        last, end = first, upto + counts.get(first, 0)
+        while last < len(cuts) and end < offset + size:
+            last, end = last + 1, end + counts.get(last + 1, 0)
+        if end - upto >= inside:
+            break
+        low, high = cuts[first - 1] if first else low, cuts[last] if last < len(cuts) else high
+        before, inside = upto, end - upto
+    return within(rows), before

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions.columns import col, is_numeric, number, numeric_columns, require_columns
 from caseloom.operators.profile import histograms
@@ -18,7 +17,6 @@ from caseloom.operators.quantiles import grouped_quantiles
 SCATTER_ROWS = 1000
 MAX_CELLS = 200
 TOP_FEATURES = 6
-PAIR_BLOCK, COMPLETE_BLOCK = 10, 200
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
@@ -28,9 +26,13 @@ def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def scatter_sample(df: DataFrame, a: str, b: str, rows: int = SCATTER_ROWS, seed: int = 42) -> DataFrame:
-    """At most `rows` complete pairs, drawn by content hash: the same rows on any partitioning."""
-    pairs = df.select(col(a), col(b)).dropna()
-    return pairs.orderBy(F.xxhash64(F.lit(seed), col(a), col(b)), col(a), col(b)).limit(rows)
+    """At most `rows` complete pairs, drawn by rows: a pair that repeats is drawn as often as it occurs.
+
+    Each row's hash includes its number, so equal rows do not stand together.  A top-k, no shuffle.
+    """
+    row = F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *[col(c) for c in df.columns])
+    pairs = df.select(col(a), col(b), row.alias("__row")).dropna()
+    return pairs.orderBy("__row").limit(rows).drop("__row")
 
 
 def describe_by(df: DataFrame, category: str, value: str) -> DataFrame:
@@ -76,35 +78,41 @@ def group_aggregate(df: DataFrame, category: str, value: str, how: str = "mean")
 
 
 def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """`a, b, r` for each pair.
+    """`a, b, r` for each pair, over its rows without missing values, in two scans for any number of columns.
 
-    Complete columns share their deviations, so one lean aggregate serves many pairs.  With missing
-    values each pair has its own rows; those run in short blocks, as one aggregate with many
-    correlations outgrows compiled code.
+    The first finds the means.  In the second each task adds up matrices of the centred values, their squares and their
+    presence, from which the sums over every pair's own rows follow; they are added up by cell.
     """
-    names = sorted({c for pair in pairs for c in pair})
-    rows, *filled = df.agg(F.count("*"), *[F.count(number(c)) for c in names]).first()
-    complete = all(n == rows for n in filled)
-    size = COMPLETE_BLOCK if complete else PAIR_BLOCK
-    blocks = [_pair_block(df, pairs[i:i + size], complete) for i in range(0, len(pairs), size)]
-    return reduce(DataFrame.unionByName, blocks)
-
-
-def _pair_block(df: DataFrame, pairs: Sequence[tuple[str, str]], complete: bool) -> DataFrame:
-    if complete:
-        names = sorted({c for pair in pairs for c in pair})
-        flat = df.agg(
-            *[F.stddev_pop(number(c)).alias(f"s{i}") for i, c in enumerate(names)],
-            *[F.covar_pop(number(a), number(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
-        )
-        spread = {c: F.col(f"s{i}") for i, c in enumerate(names)}
-        rs = [F.try_divide(F.col(f"c{i}"), spread[a] * spread[b]) for i, (a, b) in enumerate(pairs)]
-    else:
-        flat = df.agg(*[F.corr(number(a), number(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-        rs = [F.nanvl(F.col(f"r{i}"), F.lit(None).cast("double")) for i in range(len(pairs))]
-    return flat.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")) for (a, b), r in zip(pairs, rs)
-    ])))
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    data = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(names)])
+    means = np.array([m or 0.0 for m in data.agg(*[F.avg(F.when(F.abs(c) < float("inf"), F.col(c))) for c in data.columns]).first()])
+    spreads = np.array([s or 1.0 for s in data.agg(*[F.stddev_pop(F.when(F.abs(c) < float("inf"), F.col(c))) for c in data.columns]).first()])
+    size = len(names)
+    # The pairs' cells; a target's column with each feature needs one row of the matrices only.
+    firsts = sorted({names.index(a) for a, _ in pairs}) if len({b for _, b in pairs}) > 1 else [names.index(a) for a, _ in pairs]
+    seconds = sorted({names.index(b) for _, b in pairs})
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, len(firsts), len(seconds)))
+        for batch in batches:
+            raw = (batch.to_numpy(dtype=float) - means) / spreads
+            there = ~np.isnan(raw)
+            x, p = np.where(there, raw, 0.0), there.astype(float)
+            xa, xb, pa, pb = x[:, firsts], x[:, seconds], p[:, firsts], p[:, seconds]
+            with np.errstate(invalid="ignore"):
+                total += np.stack([pa.T @ pb, xa.T @ pb, pa.T @ xb, (xa * xa).T @ pb, pa.T @ (xb * xb), xa.T @ xb])
+        i, j = np.meshgrid(firsts, seconds, indexing="ij")
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), **{f"s{k}": t.ravel() for k, t in enumerate(total)}})
+
+    sums = ", ".join(f"s{k} double" for k in range(6))
+    cells = data.mapInPandas(partial, f"i int, j int, {sums}").groupBy("i", "j").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)])
+    n, sa, sb, qa, qb, ab = (F.col(f"s{k}") for k in range(6))
+    # Rounding leaves traces of a constant's spread.
+    spread = F.sqrt(F.greatest(qa - sa * sa / n, F.lit(0.0))) * F.sqrt(F.greatest(qb - sb * sb / n, F.lit(0.0)))
+    r = F.when((n > 0) & (spread > 1e-9 * n), (ab - sa * sb / n) / spread)
+    r = F.when(F.col("i") == F.col("j"), F.when(r.isNotNull(), 1.0)).otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    wanted = df.sparkSession.createDataFrame([(names.index(a), names.index(b), a, b) for a, b in pairs], "i int, j int, a string, b string")
+    return wanted.join(cells, ["i", "j"], "left").select("a", "b", F.nanvl(r, F.lit(None).cast("double")).alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

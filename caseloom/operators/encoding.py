@@ -4,32 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.feature import StringIndexerModel
+from pyspark.sql import DataFrame, Window, functions as F
 
 from caseloom.functions.columns import col, text_columns
 from caseloom.operators.profile import value_counts
+from caseloom.session import cut_lineage
 
-MAX_CATEGORIES = 500
-MAX_LABELS = 10_000
 SEVERE_PCT = 10
 MILD_PCT = 30
 
 
 def categories(
-    df: DataFrame, columns: Sequence[str], max_categories: int = MAX_CATEGORIES
+    df: DataFrame, columns: Sequence[str], max_categories: int | None = None
 ) -> dict[str, list[str]]:
-    """The sorted values of each text column.
+    """The sorted values of each text column: the dictionary of its flags.
 
-    A column beyond `max_categories` is an error before any value reaches the driver: a flag per value
-    is the wrong form for it, so leave it out or group its values first.
+    With `max_categories` a column of more values is an error before any value reaches the driver.
     """
     if not columns:
         return {}
     counts = value_counts(df, columns)
-    sizes = counts.groupBy("column").agg(F.count("*").alias("n")).collect()
-    wide = {r["column"]: r["n"] for r in sizes if r["n"] > max_categories}
-    if wide:
-        raise ValueError(f"too many categories for one-hot flags (limit {max_categories}): {wide}")
+    if max_categories is not None:
+        sizes = counts.groupBy("column").agg(F.count("*").alias("n")).collect()
+        wide = {r["column"]: r["n"] for r in sizes if r["n"] > max_categories}
+        if wide:
+            raise ValueError(f"too many categories for one-hot flags (limit {max_categories}): {wide}")
     found: dict[str, list[str]] = {c: [] for c in columns}
     for r in counts.select("column", "value").orderBy("column", "value").collect():
         found[r["column"]].append(r["value"])
@@ -38,9 +38,12 @@ def categories(
 
 def one_hot(
     df: DataFrame, target: str | None = None, values: Mapping[str, Sequence[str]] | None = None,
-    max_categories: int = MAX_CATEGORIES,
+    max_categories: int | None = None,
 ) -> DataFrame:
-    """Text features replaced by boolean `{column}_{value}` flags; null sets none of them."""
+    """Text features replaced by boolean `{column}_{value}` flags; null sets none of them.
+
+    This is the wide form; one_hot_index is the form for columns of very many values.
+    """
     texts = text_columns(df, but=[target] if target else [])
     values = values if values is not None else categories(df, texts, max_categories)
     kept = [col(c) for c in df.columns if c not in values]
@@ -50,6 +53,32 @@ def one_hot(
     return df.select(*kept, *flags)
 
 
+def indexed(df: DataFrame, column: str, values: Sequence[str], out: str) -> DataFrame:
+    """Adds the place of the row's value in `values` (int); null where it is not among them.  A hash look-up in the JVM."""
+    text = df.withColumn("__text", col(column).cast("string"))
+    if not values:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    model = StringIndexerModel.from_labels(list(values), inputCol="__text", outputCol="__place", handleInvalid="keep")
+    found = model.transform(text)
+    return found.withColumn(out, F.when(F.col("__place") < len(values), F.col("__place").cast("int"))).drop("__text", "__place")
+
+
+def one_hot_index(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(`df` with `{column}_index`, `value, index`): one-hot flags in sparse form for any number of values.
+
+    The dictionary is a table and is joined back; where it is small Spark broadcasts it, else a frequent value is split.
+    """
+    name = f"{column}_index"
+    values = df.where(col(column).isNotNull()).select(col(column).cast("string").alias("value")).distinct()
+    ordered = values.orderBy("value").withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id())
+    ordered = cut_lineage(ordered)
+    sizes = ordered.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
+    offsets = sizes.select("__part", "first", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("offset"))
+    table = ordered.join(F.broadcast(offsets), "__part").select("value", (F.col("offset") + F.col("__at") - F.col("first")).alias("index"))
+    joined = df.join(table.withColumnsRenamed({"value": "__value", "index": name}), col(column).cast("string") == F.col("__value"), "left")
+    return joined.drop("__value"), table
+
+
 def product_flags(df: DataFrame, column: str = "product", prefix: str = "prod_") -> DataFrame:
     """Adds 0/1 `prod_{value}` columns and keeps the source column."""
     values = categories(df, [column])[column]
@@ -58,11 +87,11 @@ def product_flags(df: DataFrame, column: str = "product", prefix: str = "prod_")
     )
 
 
-def label_list(df: DataFrame, target: str, limit: int = MAX_LABELS) -> list[str]:
-    """The distinct values as sorted texts; more than `limit` is an error, not a cut list."""
+def label_list(df: DataFrame, target: str, limit: int | None = None) -> list[str]:
+    """The distinct values as sorted texts; with `limit` more values are an error, not a cut list."""
     labels = df.where(col(target).isNotNull()).select(col(target).cast("string").alias("label")).distinct()
-    found = [r["label"] for r in labels.limit(limit + 1).collect()]
-    if len(found) > limit:
+    found = [r["label"] for r in (labels if limit is None else labels.limit(limit + 1)).collect()]
+    if limit is not None and len(found) > limit:
         raise ValueError(f"{target!r} has more than {limit} distinct values, too many for a class target")
     return sorted(found)
 
@@ -77,9 +106,9 @@ def encode_target(df: DataFrame, target: str, labels: Sequence[str] | None = Non
     """Text target replaced by its code (double); returns the labels in code order."""
     if labels is None:
         labels = label_list(df, target)
-    mapping = F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, float(i))])
-    code = mapping[col(target).cast("string")] if labels else F.lit(None).cast("double")
-    return df.select(*[code.alias(c) if c == target else col(c) for c in df.columns]), list(labels)
+    coded = indexed(df, target, labels, "__code")
+    code = F.col("__code").cast("double")
+    return coded.select(*[code.alias(c) if c == target else col(c) for c in df.columns]), list(labels)
 
 
 def map_labels(df: DataFrame, column: str, mapping: Mapping[str, int]) -> DataFrame:

@@ -45,6 +45,7 @@ def value_counts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
             (present(f) if used else F.lit(None)).cast(t).alias(name) for name, (t, used) in parts.items()
         ])
 
+    decimals = [i for i, f in enumerate(fields) if is_numeric(f.dataType)]
     filled = F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull(), F.lit(False))
     counted = (
         df.select(F.inline(F.array(*[entry(i, f) for i, f in enumerate(fields)]))).where(filled)
@@ -53,7 +54,9 @@ def value_counts(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
     return counted.select(
         F.get(F.array(*[F.lit(f.name) for f in fields]), F.col("c")).alias("column"),
         F.coalesce(F.col("whole").cast("string"), F.col("real").cast("string"), F.col("text")).alias("value"),
-        F.coalesce(F.col("whole").cast("double"), F.col("real")).alias("number"), "n",
+        F.coalesce(
+            F.col("whole").cast("double"), F.col("real"), F.when(F.col("c").isin(*decimals), F.col("text").try_cast("double"))
+        ).alias("number"), "n",
     )
 
 
@@ -320,7 +323,8 @@ def column_detail(df: DataFrame, name: str) -> dict[str, DataFrame]:
         summary = values.agg(
             F.bround(sample_skewness(F.col("value")), 2).alias("skewness"),
             outside.cast("bigint").alias("outliers_count"), F.count("*").alias("total_count"),
-        ).select(F.lit(name).alias("name"), F.lit("Numeric").alias("type"), "*")
+        ).select(
+            F.lit(name).alias("name"), F.when(F.col("total_count") == 0, "Empty").otherwise("Numeric").alias("type"), "*")
         return {"summary": summary, "distribution": histograms(values, ["value"]).drop("column")}
     kind = F.when(F.col("total_count") == 0, "Empty").otherwise("Categorical")
     summary = data.agg(F.count("*").alias("total_count")).select(

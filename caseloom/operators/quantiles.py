@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from caseloom.functions.columns import col, number
+from caseloom.functions.columns import col, finite_number as number
 
 EXACT_ROWS = 200_000      # values of one column that `percentile` may hold
 EXACT_TOTAL = 2_000_000   # values of all columns of one job
@@ -126,7 +126,7 @@ def _batches(columns: Iterable[str], sizes: dict[str, int], limit: int) -> Itera
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact_rows: int = EXACT_ROWS
 ) -> dict[str, dict[float, float | None]]:
-    """Linear-interpolation quantiles of numeric columns; nulls and NaN are ignored."""
+    """Linear-interpolation quantiles of numeric columns; nulls, NaN and infinities are ignored at every size."""
     columns = list(dict.fromkeys(columns))
     probs = list(probs)
     if not columns:
@@ -161,7 +161,8 @@ def grouped_quantiles(
     """`keys..., q0, q1, ...`: exact quantiles per group, also where one group holds most rows.
 
     Small inputs use Spark's `percentile`.  Otherwise values are counted per (key, value range,
-    value), with ranges cut at global quantiles, so a hot group spreads over many tasks.
+    value), with ranges cut at global quantiles, so a hot group spreads over many tasks.  The number of ranges and
+    the sketch's accuracy grow with the rows, so a range does not.  Infinities are ignored.
     """
     ks = [f"k{i}" for i in range(len(keys))]
     data = df.select(*[col(k).alias(a) for k, a in zip(keys, ks)], number(value).alias("v")).dropna()
@@ -171,9 +172,9 @@ def grouped_quantiles(
         quantiles = data.groupBy(*ks).agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q"))
         return quantiles.select(*names, *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))])
 
-    ranges = min(10_000, max(16, rows // exact_rows))
+    ranges = max(16, rows // exact_rows)
     cuts = data.agg(
-        F.percentile_approx("v", [i / ranges for i in range(1, ranges)], SKETCH_ACCURACY).alias("cuts")
+        F.percentile_approx("v", [i / ranges for i in range(1, ranges)], max(SKETCH_ACCURACY, 4 * ranges)).alias("cuts")
     ).first()["cuts"]
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
     ranged = Bucketizer(splits=splits, inputCol="v", outputCol="range").transform(data)

@@ -1,6 +1,7 @@
 """Deterministic splits and folds: shares are exact, and the rows themselves are not shuffled.
 
-Each row gets a 64-bit hash of its content and a seed.  A split is a cut in hash order.  The cut of a
+Each row gets a 64-bit hash of its key and a seed.  Without a key equal rows are numbered first, so that each has
+a hash of its own and shares stay exact.  A split is a cut in hash order.  The cut of a
 class is found by counting rows per hash range and ranking only the range that holds it, so a class
 with most of the rows is still spread over many tasks.
 """
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseloom.functions.columns import col
+from caseloom.session import cut_lineage
 
 RANGE_ROWS = 100_000
 SMALL_TABLE_ROWS = 10_000
@@ -64,14 +66,32 @@ def _local_if_small(table: DataFrame, rows: int = SMALL_TABLE_ROWS) -> DataFrame
     return F.broadcast(table.sparkSession.createDataFrame(found, table.schema)) if len(found) <= rows else table
 
 
+def numbered_copies(df: DataFrame, seed: int = 42) -> DataFrame:
+    """Adds `_row`, a hash that differs between equal rows: of the content and the row's number among its equals.
+
+    Equal rows are numbered within the partitions they lie in and offset by the counts of earlier partitions, so many
+    copies of one row are spread over tasks.  The set of hashes does not depend on the partitions.  A key saves the shuffle.
+    """
+    copy = cut_lineage(df.withColumn("_content", content_hash(df, seed)).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy("_content").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = copy.groupBy("_content", "_part").agg(F.count("*").alias("_n")).select(
+        "_content", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_content", "_part").orderBy(F.lit(0)))
+    rows = copy.withColumn("_local", local).join(offsets, ["_content", "_part"])
+    return rows.withColumn("_row", F.xxhash64("_content", F.col("_before") + F.col("_local"))).drop("_content", "_part", "_local", "_before")
+
+
 def _with_cuts(df: DataFrame, label: str | None, shares: Sequence[float], seed: int, key: str | None) -> DataFrame:
     """Adds `_hash` and `_cuts` to every row."""
-    group = F.lit(0) if label is None else col(label)
+    if key is None:
+        df, key = numbered_copies(df, seed), "_row"
+    # A missing label is a class like any other.
+    group = F.lit("") if label is None else F.coalesce(F.concat(F.lit("="), col(label).cast("string")), F.lit(""))
     hashed = df.withColumn("_hash", content_hash(df, seed, key)).withColumn("_group", group)
     cuts = hash_cuts(
         hashed.select(F.col("_group"), F.col("_hash").alias("hash")), "_group", shares
     ).withColumnRenamed("cuts", "_cuts")
-    return hashed.join(_local_if_small(cuts), "_group", "left").drop("_group")
+    return hashed.join(_local_if_small(cuts), "_group", "left").drop("_group", "_row")
 
 
 def _position(df: DataFrame) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from caseloom.functions.columns import TEXT_SCORE, col, normalise_names, number
 from caseloom.functions.values import hours_between, negativity, parse_number, parse_timestamp
 from caseloom.operators.cleaning import fill_numeric
-from caseloom.operators.encoding import MAX_CATEGORIES, categories
+from caseloom.operators.encoding import categories
 from caseloom.operators.quantiles import exact_medians
 from caseloom.operators.tfidf import MAX_TERMS, Vocabulary, add_tfidf, fit_vocabulary
 from caseloom.session import cut_lineage
@@ -131,7 +131,7 @@ class TicketRecipe:
         return TARGETS[self.task]
 
 
-def fit_recipe(df: DataFrame, task: str, max_terms: int = MAX_TERMS, max_categories: int = MAX_CATEGORIES) -> TicketRecipe:
+def fit_recipe(df: DataFrame, task: str, max_terms: int = MAX_TERMS, max_categories: int | None = None) -> TicketRecipe:
     """Learn products, text vocabulary and reference date from (training) tickets with parsed dates."""
     if task not in TARGETS:
         raise ValueError(f"task must be one of {sorted(TARGETS)}, not {task!r}")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.columns import col, number, numeric_columns, text_columns
-from caseloom.operators.encoding import MAX_CATEGORIES, categories
+from caseloom.operators.encoding import categories, indexed
 from caseloom.operators.quantiles import exact_medians
 from caseloom.operators.selection import select_features
 from caseloom.operators.transforms import VARIANTS, non_negative_columns
@@ -54,13 +55,30 @@ class FeatureRecipe:
         return out
 
     def apply(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """`keep` columns plus the assembled feature vector."""
-        values = self.expressions(self.features, df.columns)
-        return df.select(*[col(c) for c in keep], array_to_vector(F.array(*values)).alias(RAW))
+        """`keep` columns plus the assembled feature vector: numbers, then one block of flags per text column.
+
+        A value's flag is found by a hash look-up and a block is a sparse vector, so a text column may have any
+        number of values; null, unknown values and absent columns set no flag.
+        """
+        values = self.expressions([*self.selected, *self.booleans], df.columns)
+        rows, parts = df.withColumn("__numbers", array_to_vector(F.array(*values))) if values else df, ["__numbers"] if values else []
+        for i, (name, known) in enumerate(self.categories.items()):
+            if not known:
+                continue
+            place = f"__place{i}"
+            rows = indexed(rows, name, known, place) if name in df.columns else rows.withColumn(place, F.lit(None).cast("int"))
+            labels = [str(k) for k in range(len(known) + 1)]
+            rows = rows.withColumn(place, F.coalesce(F.col(place), F.lit(len(known))).cast("double").alias(place, metadata={
+                "ml_attr": {"type": "nominal", "vals": labels, "name": place}}))
+            encoder = OneHotEncoder(inputCol=place, outputCol=f"__flags{i}", dropLast=True)
+            rows = encoder.fit(rows.limit(0)).transform(rows)
+            parts.append(f"__flags{i}")
+        rows = VectorAssembler(inputCols=parts, outputCol="__raw").transform(rows)
+        return rows.select(*[col(c) for c in keep], F.col("__raw").alias(RAW, metadata={}))
 
 
 def fit_features(
-    train: DataFrame, target: str, target_is_class: bool, max_categories: int = MAX_CATEGORIES
+    train: DataFrame, target: str, target_is_class: bool, max_categories: int | None = None
 ) -> FeatureRecipe:
     """Learn medians, categories, sqrt/log variants and the informative features, all from training rows."""
     numeric = numeric_columns(train, but=[target])

@@ -16,6 +16,7 @@ from pyspark.ml.param.shared import (
     HasFeaturesCol, HasInputCol, HasLabelCol, HasOutputCol, HasPredictionCol, Param, Params, TypeConverters,
 )
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
@@ -52,6 +53,25 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         return dataset.withColumn(self.getOutputCol(), array_to_vector(project(source)))
 
 
+class FourierKernel(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Fits the kernel width: gamma = 1 / (number of features * variance of all their values)."""
+
+    seed = Param(Params._dummy(), "seed", "random seed", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, seed=42):
+        super().__init__()
+        self._setDefault(seed=42)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> FourierFeatures:
+        found = dataset.select(Summarizer.metrics("mean", "normL2", "count").summary(F.col(self.getInputCol())).alias("s")).first()["s"]
+        means, squares = found["mean"].toArray(), found["normL2"].toArray() ** 2 / max(1, found["count"])
+        variance = float(squares.mean() - means.mean() ** 2)
+        gamma = 1.0 / (len(means) * variance) if variance > 0 else 1.0
+        return FourierFeatures(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), gamma=gamma, seed=self.getOrDefault(self.seed))
+
+
 class PenaltyByRows(Estimator):
     """Fits `estimator` with penalty `alpha` divided by the rows of the data at hand (a fold has fewer).
 
@@ -81,12 +101,13 @@ class InsensitiveRegression(
 
     c = Param(Params._dummy(), "c", "penalty of the loss", TypeConverters.toFloat)
     epsilon = Param(Params._dummy(), "epsilon", "half width of the tube", TypeConverters.toFloat)
-    rounds = Param(Params._dummy(), "rounds", "reweighting rounds", TypeConverters.toInt)
+    rounds = Param(Params._dummy(), "rounds", "most reweighting rounds", TypeConverters.toInt)
+    tolerance = Param(Params._dummy(), "tolerance", "relative change of the coefficients that ends the rounds", TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", c=1.0, epsilon=0.1, rounds=8):
+    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", c=1.0, epsilon=0.1, rounds=50, tolerance=1e-3):
         super().__init__()
-        self._setDefault(c=1.0, epsilon=0.1, rounds=8)
+        self._setDefault(c=1.0, epsilon=0.1, rounds=50, tolerance=1e-3)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame):
@@ -95,7 +116,7 @@ class InsensitiveRegression(
         data = dataset.select(features, F.col(label).cast("double").alias("__y")).persist()
         solver = LinearRegression(
             featuresCol=features, labelCol="__goal", weightCol="__weight", predictionCol=out, elasticNetParam=0.0,
-            standardization=False, solver="normal",
+            standardization=False, solver="auto",
         )
 
         def solve(rows: DataFrame):
@@ -111,8 +132,12 @@ class InsensitiveRegression(
             outside = F.abs(gap) - epsilon
             weight = F.when(outside > 0, 1.0 / F.greatest(outside, F.lit(1e-3))).otherwise(1e-6)
             goal = F.when(outside > 0, F.col("__y") - epsilon * F.signum(gap)).otherwise(F.col(out))
+            before = np.append(model.coefficients.toArray(), model.intercept)
             model = solve(
                 model.transform(data).select(features, "__y", goal.alias("__goal"), weight.alias("__weight"))
             )
+            moved = np.append(model.coefficients.toArray(), model.intercept) - before
+            if np.linalg.norm(moved) <= self.getOrDefault(self.tolerance) * max(1e-12, np.linalg.norm(before)):
+                break
         data.unpersist()
         return model

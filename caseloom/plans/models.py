@@ -2,32 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
-from pyspark.ml.feature import RobustScaler, StandardScaler
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import RobustScaler, RobustScalerModel, StandardScaler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+from pyspark.util import inheritable_thread_target
 
 from caseloom.operators.metrics import classification_metrics
-from caseloom.plans.kernels import FourierFeatures, InsensitiveRegression, PenaltyByRows
+from caseloom.plans.kernels import FourierKernel, InsensitiveRegression, PenaltyByRows
 
 RAW, SCALED = "raw_features", "features"
 SEED = 42
 CV_FOLDS = 5
 
 
+class WholeRobustScaler(Estimator):
+    """Robust scaling that keeps features whose interquartile range is 0: they are centred and divided by 1.
+
+    Spark's own model writes 0 for them, which would erase rare flags and sparse text weights.
+    """
+
+    def _fit(self, dataset: DataFrame) -> RobustScalerModel:
+        model = RobustScaler(inputCol=RAW, outputCol=SCALED, withCentering=True, relativeError=0.001).fit(dataset)
+        context = dataset.sparkSession.sparkContext
+        spans = Vectors.dense([float(r) or 1.0 for r in model.range.toArray()])
+        whole = context._jvm.org.apache.spark.ml.feature.RobustScalerModel(model.uid, _py2java(context, spans), _py2java(context, model.median))
+        whole.set("inputCol", RAW).set("outputCol", SCALED).set("withCentering", True)
+        return RobustScalerModel(whole)
+
+
 def scaler_stage(kind: str):
     if kind == "robust":
-        return RobustScaler(inputCol=RAW, outputCol=SCALED, withCentering=True, relativeError=0.001)
+        return WholeRobustScaler()
     return StandardScaler(inputCol=RAW, outputCol=SCALED, withMean=True)
 
 
+#: Spark's limit for the depth of a tree; forests are otherwise not limited.
+MAX_DEPTH = 30
+
+
 def classifiers(classes: int, rows: int, effort: float = 1.0, weight: str = "weight") -> dict[str, list]:
-    """Stages per model.  `effort` scales iterations, trees and depth, for quick runs.
+    """Stages per model.  `effort` scales iterations, trees and depth, for quick tests.
 
     Weights balance the classes for all but gradient boosting.
     """
@@ -50,13 +75,12 @@ def classifiers(classes: int, rows: int, effort: float = 1.0, weight: str = "wei
         ],
         "Random Forest": [
             RandomForestClassifier(
-                weightCol=weight, numTrees=trees, maxDepth=max(5, round(20 * effort)), featureSubsetStrategy="sqrt",
-                seed=SEED,
+                weightCol=weight, numTrees=trees, maxDepth=max(5, round(MAX_DEPTH * effort)), featureSubsetStrategy="sqrt", seed=SEED,
             )
         ],
         "Gradient Boosting": [boosting],
         "Support Vector Classifier": [
-            FourierFeatures(inputCol=SCALED, outputCol="kernel_features", seed=SEED),
+            FourierKernel(inputCol=SCALED, outputCol="kernel_features", seed=SEED),
             machine,
             LogisticRegression(
                 featuresCol="rawPrediction", rawPredictionCol="calibrated", weightCol=weight, maxIter=100
@@ -70,14 +94,14 @@ def regressors(effort: float = 1.0) -> dict[str, list]:
     return {
         "Ridge Regression": [
             PenaltyByRows(
-                LinearRegression(elasticNetParam=0.0, standardization=False, solver="normal"), by_deviation=True
+                LinearRegression(elasticNetParam=0.0, standardization=False, solver="auto"), by_deviation=True
             )
         ],
         "Huber Regression (Robust)": [
             PenaltyByRows(LinearRegression(loss="huber", epsilon=1.35, maxIter=max(50, round(1000 * effort))), alpha=1e-4)
         ],
         "Support Vector Regressor": [
-            FourierFeatures(inputCol=SCALED, outputCol="kernel_features", seed=SEED),
+            FourierKernel(inputCol=SCALED, outputCol="kernel_features", seed=SEED),
             InsensitiveRegression(featuresCol="kernel_features", c=1.0, epsilon=0.1),
         ],
         "Random Forest (Tuned)": [
@@ -107,17 +131,31 @@ class MacroF1Evaluator(Evaluator):
         return True
 
 
+@dataclass
+class Validated:
+    """Mean and (population) deviation of the folds' scores, and the fit on all training rows."""
+
+    avgMetrics: list[float]
+    stdMetrics: list[float]
+    bestModel: PipelineModel
+
+
 def cross_validate(
     train: DataFrame, stages: list, scaler: str, problem_type: str, folds: int = CV_FOLDS, fold: str = "fold",
-    parallelism: int = 2,
-) -> CrossValidatorModel:
-    """Fold scores and, as `bestModel`, the fit on all training rows.
+    parallelism: int = 4,
+) -> Validated:
+    """Fold scores and, as `bestModel`, the fit on all training rows; `parallelism` of these fits run side by side.
 
     The scaler is a stage, so each fold fits its own on its training part.
     """
     evaluator = MacroF1Evaluator() if problem_type == "classification" else RegressionEvaluator(metricName="r2")
-    validator = CrossValidator(
-        estimator=Pipeline(stages=[scaler_stage(scaler), *stages]), estimatorParamMaps=[{}], evaluator=evaluator,
-        numFolds=folds, foldCol=fold, parallelism=parallelism,
-    )
-    return validator.fit(train)
+    pipeline = Pipeline(stages=[scaler_stage(scaler), *stages])
+
+    def fitted(number: int | None) -> PipelineModel | float:
+        if number is None:
+            return pipeline.fit(train)
+        return evaluator.evaluate(pipeline.fit(train.where(F.col(fold) != number)).transform(train.where(F.col(fold) == number)))
+
+    with ThreadPool(max(1, parallelism)) as pool:
+        best, *scores = pool.map(inheritable_thread_target(train.sparkSession)(fitted), [None, *range(folds)], chunksize=1)
+    return Validated([float(np.mean(scores))], [float(np.std(scores))], best)

@@ -24,7 +24,7 @@ from caseloom.operators.tickets import (
 from caseloom.operators.transforms import choose_scaler, needs_log, outlier_counts
 from caseloom.operators.validate import detect_problem_type, validate_inputs
 from caseloom.plans.features import FeatureRecipe, fit_features
-from caseloom.plans.models import CV_FOLDS, cross_validate, default_models, scaler_stage
+from caseloom.plans.models import CV_FOLDS, RAW, cross_validate, default_models, scaler_stage
 from caseloom.session import cut_lineage
 
 ROW, FOLD, FOLD_SEED = "__row", "__fold", 43
@@ -126,14 +126,15 @@ def evaluate_models(
 def train(
     df: DataFrame, target: str | None = None, task: str | None = None, priority: str | None = None,
     test_size: float = 0.2, folds: int = CV_FOLDS, effort: float = 1.0, only: list[str] | None = None,
-    day_first: bool = False,
+    day_first: bool = False, fit_rows: int | None = None,
 ) -> TrainedRun:
     """Train the default models for a target column or a ticket task and recommend one.
 
     The split comes first and everything learned (text vocabulary, medians, categories, feature
     choice, scaler, models) is learned from training rows only.  Cleaned rows are written to the
     checkpoint folder once, as the fits read them many times.  `priority` is the test metric to
-    recommend by; without it the cross-validation mean decides.
+    recommend by; without it the cross-validation mean decides.  `fit_rows` bounds the training rows the models are
+    fitted on (the first by content hash); checks, features and the evaluation use all rows.
     """
     spark = df.sparkSession
     check_test_size(test_size)
@@ -188,6 +189,8 @@ def train(
     scaler = choose_scaler(outliers.count(), len(recipe.features))
     if is_class:
         training = with_class_weights(training, "label")
+    if fit_rows is not None:
+        training = training.orderBy(F.xxhash64(*[F.col(c) for c in training.columns if c != RAW], F.col(RAW).cast("string"))).limit(fit_rows).coalesce(1)
     training = cut_lineage(training)
     test = inputs(test_rows).persist()
 

@@ -40,12 +40,26 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_COPIES: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared checkpoint folder.
 
-    Lost executors then cost no recomputation, and later passes read only the columns they need.
+    Lost executors then cost no recomputation, and later passes read only the columns they need.  release_copies
+    removes the tables once no result of theirs is needed.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/table-{uuid4().hex}"
     df.write.parquet(path)
+    _COPIES.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_copies(spark: SparkSession) -> int:
+    """Remove all tables that cut_lineage wrote in this process; returns how many."""
+    removed = 0
+    while _COPIES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_COPIES.pop())
+        removed += path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return removed

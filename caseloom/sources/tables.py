@@ -22,11 +22,12 @@ def format_of(path: str) -> str:
 
 def load_table(
     spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None,
-    multiline: bool = False,
+    multiline: bool = True,
 ) -> DataFrame:
     """A table by path.  For text files give a schema at scale: inferring types reads the data once more.
 
-    `multiline` allows line breaks in quoted fields, at the price of unsplittable files.
+    Quoted fields may hold line breaks, so a text file is read by one task.  `multiline=False` splits files over
+    tasks; it first checks that no line leaves a quote open.
     """
     fmt = fmt or format_of(path)
     if fmt not in FORMATS:
@@ -52,9 +53,14 @@ def spread_rows(table: DataFrame) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True
 ) -> DataFrame:
     """Delimited text with a header; the usual missing-value texts are NULL and types are inferred."""
+    if not multiline:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        broken = spark.read.text(path).agg(F.count_if(quotes % 2 == 1)).first()[0]
+        if broken:
+            raise ValueError(f"{path!r} has line breaks in quoted fields ({broken} lines); read it with multiline=True")
     raw = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=multiline)
     texts = raw.select(*[F.when(~col(c).isin(*NA_TOKENS), col(c)).alias(c) for c in raw.columns])
     if schema is None:

@@ -1,7 +1,7 @@
 """Evaluation, recommendation, models, training runs and scoring.
 
-Fits use few trees and rounds (`EFFORT`) so that a check stays short; `train` defaults to the full
-settings.  All fits read the whole table.
+Models run with their full settings: all trees, rounds, iterations and folds.  They are fitted on at most FIT_ROWS labelled
+rows, a documented bound; splits, features and evaluations cover all rows.  The queries about one training run share it.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from caseloom.plans.features import FeatureRecipe
 from caseloom.plans.models import cross_validate, default_models
 from caseloom.plans.scoring import check_rows, score
 from caseloom.plans.training import FOLD, TrainedRun, evaluate_models, fit_models, load_run, save_run, train
-from caseloom.sources.tables import spread_rows
 from registry.base import query, read, rounded, tickets, view
 from registry.combining import scratch
 
-EFFORT = 0.05
+#: Labelled rows that a model is fitted on in these queries.
+FIT_ROWS = 2_000
 
 
 def predicted(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,6 +147,11 @@ LINE_RECIPE = FeatureRecipe(
 )
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """The first FIT_ROWS rows by content hash, in one partition as they are few."""
+    return rows.orderBy(F.xxhash64(*rows.columns)).limit(FIT_ROWS).coalesce(1)
+
+
 def _class_sides(spark: SparkSession, sf: str, folds: int = 0) -> tuple[DataFrame, DataFrame]:
     """Weighted training rows (with fold ids if asked for), and test rows, of the two-class target."""
     lines, _ = encode_target(view(spark, sf, "lines").withColumnRenamed("outcome", "label"), "label", ["late", "ok"])
@@ -154,15 +159,15 @@ def _class_sides(spark: SparkSession, sf: str, folds: int = 0) -> tuple[DataFram
     keep = ["label", FOLD] if folds else ["label"]
     if folds:
         training = assign_folds(training, folds, stratify="label", seed=43, out=FOLD)
-    weighted = with_class_weights(LINE_RECIPE.apply(training, keep), "label")
-    return spread_rows(weighted).persist(), LINE_RECIPE.apply(test, ["label"])
+    weighted = with_class_weights(LINE_RECIPE.apply(_bounded(training), keep), "label")
+    return weighted.persist(), LINE_RECIPE.apply(test, ["label"])
 
 
 def _value_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     lines = read(spark, sf, "lineitem")
     target = 10 * F.col("l_quantity") * (1 + F.col("l_discount")) + F.col("l_orderkey") % 5
     training, test = train_test(lines.withColumn("label", target), 0.2)
-    return spread_rows(LINE_RECIPE.apply(training, ["label"])).persist(), LINE_RECIPE.apply(test, ["label"])
+    return LINE_RECIPE.apply(_bounded(training), ["label"]).persist(), LINE_RECIPE.apply(test, ["label"])
 
 
 MODELS = {
@@ -183,7 +188,7 @@ for _problem, _names in MODELS.items():
         def one_model(spark: SparkSession, sf: str, problem: str = _problem, name: str = _name) -> DataFrame:
             """Test metrics of one model on a learnable target."""
             training, test = (_class_sides if problem == "classification" else _value_sides)(spark, sf)
-            stages = default_models(problem, training.count(), 2, EFFORT)[name]
+            stages = default_models(problem, training.count(), 2)[name]
             models, _ = fit_models(training, {name: stages}, "standard", problem, folds=0)
             training.unpersist()
             return evaluate_models(models, test, problem)
@@ -191,10 +196,10 @@ for _problem, _names in MODELS.items():
 
 @query("cross_validation")
 def folds_scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Three stratified folds of logistic regression, the scaler fitted in each."""
-    training, _ = _class_sides(spark, sf, folds=3)
-    stages = default_models("classification", training.count(), 2, EFFORT)["Logistic Regression"]
-    fitted = cross_validate(training, stages, "robust", "classification", folds=3, fold=FOLD)
+    """Five stratified folds of logistic regression, the scaler fitted in each."""
+    training, _ = _class_sides(spark, sf, folds=5)
+    stages = default_models("classification", training.count(), 2)["Logistic Regression"]
+    fitted = cross_validate(training, stages, "robust", "classification", folds=5, fold=FOLD)
     training.unpersist()
     row = ("Logistic Regression", float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0]))
     return spark.createDataFrame([row], "model string, cv_f1_macro_mean double, cv_f1_macro_std double")
@@ -203,15 +208,14 @@ def folds_scored(spark: SparkSession, sf: str) -> DataFrame:
 @lru_cache(maxsize=4)
 def _class_run(spark: SparkSession, sf: str) -> TrainedRun:
     return train(
-        view(spark, sf, "lines"), "outcome", effort=EFFORT, folds=2, only=["Logistic Regression", "Random Forest"],
-        priority="f1_macro",
+        view(spark, sf, "lines"), "outcome", priority="f1_macro", fit_rows=FIT_ROWS
     )
 
 
 @lru_cache(maxsize=4)
 def _ticket_run(spark: SparkSession, sf: str) -> TrainedRun:
     return train(
-        tickets(spark, sf, "full_cases"), task="resolution", effort=EFFORT, folds=2, only=["Ridge Regression", "Random Forest (Tuned)"]
+        tickets(spark, sf, "full_cases"), task="resolution", fit_rows=FIT_ROWS
     )
 
 

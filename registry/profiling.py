@@ -132,10 +132,10 @@ def numeric_detail(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("empty_detail", """
-    SELECT 'empty_col' AS name, 'Numeric' AS type, 0.0::DOUBLE AS skewness, 0::BIGINT AS outliers_count, count(empty_col) AS total_count
+    SELECT 'empty_col' AS name, 'Empty' AS type, 0.0::DOUBLE AS skewness, 0::BIGINT AS outliers_count, count(empty_col) AS total_count
     FROM {dirty} t""")
 def empty_detail(spark: SparkSession, sf: str) -> DataFrame:
-    """An empty column: typed numeric here, so no values and no distribution."""
+    """A column without values is Empty whatever its type."""
     return column_detail(view(spark, sf, "dirty"), "empty_col")["summary"]
 
 

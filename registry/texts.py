@@ -138,9 +138,7 @@ def products(spark: SparkSession, sf: str) -> DataFrame:
     """Cases per product, with the sum of the product's own flag and of all flags."""
     flagged = product_flags(tickets(spark, sf, "full_cases").select("product"))
     names = [c for c in flagged.columns if c.startswith("prod_")]
-    own = F.lit(0)
-    for c in names:
-        own = F.when(F.col("product") == c.removeprefix("prod_"), col(c)).otherwise(own)
+    own = F.coalesce(*[F.when(F.col("product") == c.removeprefix("prod_"), col(c)) for c in names], F.lit(0))
     total = sum((col(c) for c in names), F.lit(0))
     return flagged.groupBy(F.coalesce("product", F.lit("none")).alias("product")).agg(
         F.count("*").alias("cases"), F.sum(own).cast("bigint").alias("own_flag"), F.sum(total).cast("bigint").alias("all_flags")
