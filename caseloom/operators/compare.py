@@ -110,7 +110,7 @@ def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     # Rounding leaves traces of a constant's spread.
     spread = F.sqrt(F.greatest(qa - sa * sa / n, F.lit(0.0))) * F.sqrt(F.greatest(qb - sb * sb / n, F.lit(0.0)))
     r = F.when((n > 0) & (spread > 1e-9 * n), (ab - sa * sb / n) / spread)
-    r = F.when(F.col("i") == F.col("j"), F.when(r.isNotNull(), 1.0)).otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    r = F.when(r.isNotNull(), F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))))
     wanted = df.sparkSession.createDataFrame([(names.index(a), names.index(b), a, b) for a, b in pairs], "i int, j int, a string, b string")
     return wanted.join(cells, ["i", "j"], "left").select("a", "b", F.nanvl(r, F.lit(None).cast("double")).alias("r"))
 

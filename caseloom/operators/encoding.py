@@ -58,9 +58,9 @@ def indexed(df: DataFrame, column: str, values: Sequence[str], out: str) -> Data
     text = df.withColumn("__text", col(column).cast("string"))
     if not values:
         return df.withColumn(out, F.lit(None).cast("int"))
-    model = StringIndexerModel.from_labels(list(values), inputCol="__text", outputCol="__place", handleInvalid="keep")
+    model = StringIndexerModel.from_labels(list(values), inputCol="__text", outputCol="__at", handleInvalid="keep")
     found = model.transform(text)
-    return found.withColumn(out, F.when(F.col("__place") < len(values), F.col("__place").cast("int"))).drop("__text", "__place")
+    return found.withColumn(out, F.when(F.col("__at") < len(values), F.col("__at").cast("int"))).drop("__text", "__at")
 
 
 def one_hot_index(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
