@@ -22,7 +22,9 @@ from pyspark.sql.types import StructType
 from caseloom.llm.tokens import gather, load_vocabulary, pretokens, slices
 
 #: Characters of text in a chunk, and bytes of text per bucket of pre-tokens.
-CHUNK, BUCKET = 4 << 20, 16 << 20
+CHUNK, BUCKET = 5 << 19, 16 << 20
+#: Rows decoded before they are handed on.
+DECODED = 256
 
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -98,6 +100,7 @@ def encode(
             for at, texts in slices(batch.column(1), chunk):
                 made = exploded(batch.column(0).slice(at, len(texts)), texts, known.classes(), buckets, TaskContext.get().partitionId() << 32 | number)
                 number += 1
+                pa.default_memory_pool().release_unused()
                 for row in made:
                     kinds = [pa.int64(), pa.int64(), pa.list_(batch.column(0).type), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names)
@@ -158,12 +161,13 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, ends = known.token_bytes()
-        for batch in batches:
-            out = []
-            for ids in batch.column(place):
-                own = None if not ids.is_valid else np.asarray(ids.values)
-                out.append(None if own is None else gather(data, ends[own], ends[own + 1] - ends[own]).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, DECODED):
+                batch, out = whole.slice(at, DECODED), []
+                for ids in batch.column(place):
+                    own = None if not ids.is_valid else np.asarray(ids.values)
+                    out.append(None if own is None else gather(data, ends[own], ends[own + 1] - ends[own]).tobytes())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
     given = rows.toDF(*names)
     return given.mapInArrow(run, StructType([*given.schema, *StructType.fromDDL("decoded binary")])).toDF(*rows.columns, "decoded")
