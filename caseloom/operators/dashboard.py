@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caseloom.functions.columns import col, normalise_names
 from caseloom.functions.values import hours_between, priority_bucket, status_bucket
 from caseloom.operators.tickets import parse_dates
+from caseloom.session import cut_lineage
 
+# Weekdays and, further below, the texts of the attention list.
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 RECENT_CASES = 5
 VOLUME_MONTHS = 6
@@ -232,10 +234,13 @@ def _day(value: date | str) -> date:
     return date.fromisoformat(value) if isinstance(value, str) else value
 
 
-def dashboard(df: DataFrame, as_of: datetime | None = None) -> dict[str, DataFrame]:
-    """All dashboard blocks.  The counted ones share one small, cached rollup."""
-    cases = bucketed_cases(df, as_of)
-    rollup = daily_rollup(cases).persist()
+def dashboard(df: DataFrame, as_of: datetime | None = None, day_first: bool = False) -> dict[str, DataFrame]:
+    """All dashboard blocks.  The counted ones share one small rollup, written as a copy that release_copies removes.
+
+    `day_first` reads dd/mm dates.
+    """
+    cases = bucketed_cases(df, as_of, day_first)
+    rollup = cut_lineage(daily_rollup(cases))
     return {
         "summary": sla_summary(rollup),
         "distribution": case_distribution(rollup),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.columns import col, number
 
+# Names of the metrics and the thresholds of the sweep.
 CLASSIFICATION_METRICS = ("accuracy", "balanced_accuracy", "precision", "recall", "f1", "f1_macro")
 REGRESSION_METRICS = ("mae", "rmse", "r2")
 THRESHOLDS = (0.5, 0.4, 0.3, 0.2, 0.15)
