@@ -85,9 +85,10 @@ def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
     data = df.select(*[number(c).alias(f"v{i}") for i, c in enumerate(names)])
-    means = np.array([m or 0.0 for m in data.agg(*[F.avg(F.when(F.abs(c) < float("inf"), F.col(c))) for c in data.columns]).first()])
-    spreads = np.array([s or 1.0 for s in data.agg(*[F.stddev_pop(F.when(F.abs(c) < float("inf"), F.col(c))) for c in data.columns]).first()])
-    size = len(names)
+    finite = {c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in data.columns}
+    found = data.agg(*[f(v) for f in (F.avg, F.stddev_pop) for v in finite.values()]).first()
+    means = np.array([m or 0.0 for m in found[:len(names)]])
+    spreads = np.array([s or 1.0 for s in found[len(names):]])
     # The pairs' cells; a target's column with each feature needs one row of the matrices only.
     firsts = sorted({names.index(a) for a, _ in pairs}) if len({b for _, b in pairs}) > 1 else [names.index(a) for a, _ in pairs]
     seconds = sorted({names.index(b) for _, b in pairs})
