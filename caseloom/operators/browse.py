@@ -12,7 +12,7 @@ from caseloom.functions.columns import col, finite, require_columns
 
 DEEP_PAGE_ROWS = 100_000
 #: Ranges counted in one round of narrowing.
-CUTS = 48
+CUTS = 24
 
 
 def preview(df: DataFrame, rows: int | None = None, order_by: str | None = None) -> DataFrame:
@@ -66,12 +66,26 @@ def _page_range(df: DataFrame, keys: list[str], offset: int, size: int, most: in
     low = high = None
 
     def literal(value: Row) -> Column:
-        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(value, kinds)])
+        return F.struct(*map(F.lit, value)).cast(kinds)
+
+    def first_key(edge: Row, keep: Column) -> Column:
+        """A plain filter on the first key, implied by the range, that reaches the scan."""
+        missing, value = edge[0], edge[1]
+        return F.lit(True) if missing or value != value else keep
 
     def within(data: DataFrame) -> DataFrame:
+        first = col(keys[0])
         if low is not None:
-            data = data.where(F.col("__place") >= literal(low))
-        return data if high is None else data.where(F.col("__place") < literal(high))
+            at_least = first >= F.lit(low[1]) if high is not None and not high[0] else (first >= F.lit(low[1])) | first.isNull()
+            data = data.where(first_key(low, at_least)).where(F.col("__place") >= literal(low))
+        return data if high is None else data.where(first_key(high, first <= F.lit(high[1]))).where(F.col("__place") < literal(high))
+
+    def bucket_of(cuts: list[Row], base: int = 0) -> Column:
+        """How many cuts lie at or before a row's place, by bisection."""
+        if not cuts:
+            return F.lit(base)
+        half = len(cuts) // 2
+        return F.when(F.col("__place") < literal(cuts[half]), bucket_of(cuts[:half], base)).otherwise(bucket_of(cuts[half + 1:], base + half + 1))
 
     while inside > most:
         drawn = within(rows).select("__place").sample(min(1.0, 32.0 * CUTS / inside), seed=7).orderBy("__place").collect()
@@ -79,8 +93,7 @@ def _page_range(df: DataFrame, keys: list[str], offset: int, size: int, most: in
         cuts = sample[len(sample) // CUTS::max(1, len(sample) // CUTS)] if sample else []
         if not cuts:
             break
-        bucket = F.size(F.filter(F.array(*map(literal, cuts)), lambda c: c <= F.col("__place")))
-        counts = dict(within(rows).groupBy(bucket.alias("b")).count().collect())
+        counts = dict(within(rows).groupBy(bucket_of(cuts).alias("b")).count().collect())
         first, upto = 0, before
         while first < len(cuts) and upto + counts.get(first, 0) <= offset:
             upto, first = upto + counts.get(first, 0), first + 1

@@ -69,16 +69,28 @@ def _local_if_small(table: DataFrame, rows: int = SMALL_TABLE_ROWS) -> DataFrame
 def numbered_copies(df: DataFrame, seed: int = 42) -> DataFrame:
     """Adds `_row`, a hash that differs between equal rows: of the content and the row's number among its equals.
 
-    Equal rows are numbered within the partitions they lie in and offset by the counts of earlier partitions, so many
-    copies of one row are spread over tasks.  The set of hashes does not depend on the partitions.  A key saves the shuffle.
+    The rows are written once, so that all later passes see the same ones.  Where no row repeats, which a count of
+    hashes tells, no row is shuffled.  Otherwise equal rows are numbered within the partitions they lie in and offset by
+    the counts of earlier partitions, so many copies of one row are spread over tasks.  The set of hashes does not
+    depend on the partitions.  A key saves all this.
     """
     copy = cut_lineage(df.withColumn("_content", content_hash(df, seed)).withColumn("_part", F.spark_partition_id()))
+    if not _repeats(copy, df.columns, seed):
+        return copy.withColumn("_row", F.xxhash64("_content", F.lit(1).cast("bigint"))).drop("_content", "_part")
     earlier = Window.partitionBy("_content").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = copy.groupBy("_content", "_part").agg(F.count("*").alias("_n")).select(
         "_content", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy("_content", "_part").orderBy(F.lit(0)))
     rows = copy.withColumn("_local", local).join(offsets, ["_content", "_part"])
-    return rows.withColumn("_row", F.xxhash64("_content", F.col("_before") + F.col("_local"))).drop("_content", "_part", "_local", "_before")
+    numbered = rows.withColumn("_row", F.xxhash64("_content", F.col("_before") + F.col("_local")))
+    # Written too: the passes that find the cuts would number the rows anew.
+    return cut_lineage(numbered.drop("_content", "_part", "_local", "_before"))
+
+
+def _repeats(copy: DataFrame, columns: Sequence[str], seed: int) -> bool:
+    """Whether a row occurs twice, by two hashes of its content, so that chance matches stay unlikely at any size."""
+    other = content_hash(copy.select(*[col(c) for c in columns]), seed + 1)
+    return not copy.groupBy("_content", other.alias("_other")).count().where("count > 1").isEmpty()
 
 
 def _with_cuts(df: DataFrame, label: str | None, shares: Sequence[float], seed: int, key: str | None) -> DataFrame:
