@@ -108,6 +108,14 @@ def test_deep_pages_equal_the_sorted_table(spark):
         paginate(df, "k", 0)
 
 
+def test_deep_pages_with_missing_and_odd_keys(spark):
+    values = [None] * 150 + [float("nan")] * 150 + [float("inf")] * 20 + [float(i % 60) for i in range(300)]
+    df = spark.createDataFrame(list(zip(values, range(len(values)))), "k double, i int").repartition(3)
+    ordered = [str(tuple(r)) for r in df.orderBy(F.col("k").asc_nulls_last(), "i").collect()]
+    for page in (2, 31, 40, 62):
+        assert [str(tuple(r)) for r in paginate(df, ["k", "i"], page, 10, deep=0).collect()] == ordered[(page - 1) * 10: page * 10]
+
+
 def test_permuted_scores_follow_shuffling(spark):
     """Scores drawn from the margins have the mean and spread of scores of shuffled columns."""
     n = 400
