@@ -16,7 +16,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from caseloom.llm.graph import components
@@ -347,16 +347,26 @@ def simhash_components(
     return rows.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of `docs` that stand for their group of near copies: those with the smallest id, then text digest.
-
-    A null id comes last.  Of rows that agree in id and text one stays.  Texts are shuffled once, by id and digest.
-    """
+def document_key(id_col: str, text_col: str) -> Column:
+    """Rows in the order of their ids, nulls last, then of their text's digest."""
     missing, digest = F.col(f"`{id_col}`").isNull(), F.sha1(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    key = F.struct(missing.alias("missing"), F.col(f"`{id_col}`").alias("id"), digest.alias("digest"))
-    groups = simhash_components(docs.select(key.alias("doc_key"), F.col(f"`{text_col}`").alias("doc_text")), "doc_key", "doc_text", **settings)
+    return F.struct(missing.alias("missing"), F.col(f"`{id_col}`").alias("id"), digest.alias("digest"))
+
+
+def stand_for(docs: DataFrame, key: Column, groups: DataFrame) -> DataFrame:
+    """One row of `docs` for each document_key in `component_id` of `groups`.  Texts are shuffled once, by id and digest."""
     stay = groups.select("component_id.*").distinct()
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k")).select("row", "k.*")
     same = whole["missing"].eqNullSafe(stay["missing"]) & whole["id"].eqNullSafe(stay["id"]) & (whole["digest"] == stay["digest"])
     first = F.row_number().over(Window.partitionBy("missing", "id", "digest").orderBy(F.lit(0)))
     return whole.join(stay, same, "left_semi").withColumn("n", first).where("n = 1").select("row.*")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of `docs` that stand for their group of near fingerprints: those with the smallest id, then text digest.
+
+    A null id comes last.  Of rows that agree in id and text one stays.
+    """
+    key = document_key(id_col, text_col)
+    groups = simhash_components(docs.select(key.alias("doc_key"), F.col(f"`{text_col}`").alias("doc_text")), "doc_key", "doc_text", **settings)
+    return stand_for(docs, key, groups)
