@@ -71,16 +71,17 @@ class Bins:
 
 def pack(
     docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0,
+    added: bool = False,
 ) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): pieces of all documents in sequences of at most `capacity`.
 
     A document is its text's ids and `end_id`; null and empty texts are that one id.  `ids` are little-endian unsigned
     32-bit.  Each id is in one piece; repeated rows are packed each for itself.  `capacity` is a power of two.
-    `vocabulary` is a rank or tokenizer file.  Nothing is shuffled; other columns are not read.
+    `vocabulary` is a rank or tokenizer file; with `added` its added tokens are found in texts.  Nothing is shuffled; other columns are not read.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    known = load_vocabulary(docs.sparkSession, vocabulary, pattern)
+    known = load_vocabulary(docs.sparkSession, vocabulary, pattern, added)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 

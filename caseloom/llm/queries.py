@@ -43,7 +43,7 @@ def op3_substrings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = pack(_read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, capacity=1024)
+    pieces = pack(_read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, capacity=1024, added=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

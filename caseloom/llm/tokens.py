@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -48,6 +49,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {bytes(stand_in[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
 
 
+def load_added(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file and their ids, which stand for themselves wherever a text holds them."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"] if path.endswith(".json") else []
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on the text beside them are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 @dataclass
 class Vocabulary:
     """A vocabulary for tasks: what is shipped is bounded by the vocabulary and by Unicode, not by the data."""
@@ -79,10 +89,17 @@ class Vocabulary:
             kept["bytes"] = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum([0, *map(len, tokens)])
         return kept["bytes"]
 
+    def added(self) -> dict[str, int]:
+        return self._kept.get("added", {})
 
-def load_vocabulary(spark: SparkSession, path: str, pattern: str) -> Vocabulary:
-    """The vocabulary in a rank or tokenizer file, with the pattern that splits texts before the merges."""
-    return Vocabulary(spark.sparkContext.broadcast({"ranks": load_ranks(path), "pattern": pattern, "classes": character_classes()}))
+
+def load_vocabulary(spark: SparkSession, path: str, pattern: str, added: bool = False) -> Vocabulary:
+    """The vocabulary in a rank or tokenizer file, with the pattern that splits texts before the merges.
+
+    With `added` the file's added tokens are found in texts; without, they are ordinary text.
+    """
+    own = load_added(path) if added else {}
+    return Vocabulary(spark.sparkContext.broadcast({"ranks": load_ranks(path), "pattern": pattern, "classes": character_classes(), "added": own}))
 
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -203,4 +220,20 @@ def make_encoder(vocabulary: Vocabulary) -> Callable[[list[str]], tuple[np.ndarr
         text_ends = ends[np.cumsum(per_text)]
         return ids, np.diff(text_ends, prepend=0)
 
-    return encode
+    added = vocabulary.added()
+    if not added:
+        return encode
+    marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode_between(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [marks.split(t) for t in texts]
+        ids, sizes = encode([p for ps in parts for p in ps[::2]])
+        follows = np.array([i for ps in parts for i in (*(added[t] for t in ps[1::2]), -1)], np.int64)
+        wide = sizes + (follows >= 0)
+        ends = np.cumsum(wide)
+        whole = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        whole[ends[follows >= 0] - 1] = follows[follows >= 0]
+        whole[gather(np.arange(len(whole)), ends - wide, sizes)] = ids
+        return whole, np.diff(ends[follows < 0], prepend=0)
+
+    return encode_between
