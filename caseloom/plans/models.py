@@ -22,6 +22,8 @@ from caseloom.operators.metrics import classification_metrics
 from caseloom.plans.kernels import FourierKernel, InsensitiveRegression, PenaltyByRows
 
 RAW, SCALED = "raw_features", "features"
+#: Marks the rows that models are fitted on, where their number is bounded.
+FIT = "__fit"
 SEED = 42
 CV_FOLDS = 5
 
@@ -140,21 +142,30 @@ class Validated:
     bestModel: PipelineModel
 
 
+def fit_pipeline(rows: DataFrame, stages: list, scaler: str) -> PipelineModel:
+    """The scaler fitted on all rows, the model on those marked in FIT, or on all without such a column."""
+    scaled = Pipeline(stages=[scaler_stage(scaler)]).fit(rows)
+    if FIT not in rows.columns:
+        return PipelineModel(stages=[*scaled.stages, *Pipeline(stages=stages).fit(scaled.transform(rows)).stages])
+    part = scaled.transform(rows.where(FIT)).coalesce(1).persist()  # few rows, read many times
+    fitted = Pipeline(stages=stages).fit(part)
+    part.unpersist()
+    return PipelineModel(stages=[*scaled.stages, *fitted.stages])
+
+
 def cross_validate(
     train: DataFrame, stages: list, scaler: str, problem_type: str, folds: int = CV_FOLDS, fold: str = "fold",
     parallelism: int = 4,
 ) -> Validated:
     """Fold scores and, as `bestModel`, the fit on all training rows; `parallelism` of these fits run side by side.
 
-    The scaler is a stage, so each fold fits its own on its training part.
+    Each fold fits its own scaler on its training part and is scored on all its rows; FIT bounds only the fits of models.
     """
     evaluator = MacroF1Evaluator() if problem_type == "classification" else RegressionEvaluator(metricName="r2")
-    pipeline = Pipeline(stages=[scaler_stage(scaler), *stages])
-
     def fitted(number: int | None) -> PipelineModel | float:
         if number is None:
-            return pipeline.fit(train)
-        return evaluator.evaluate(pipeline.fit(train.where(F.col(fold) != number)).transform(train.where(F.col(fold) == number)))
+            return fit_pipeline(train, stages, scaler)
+        return evaluator.evaluate(fit_pipeline(train.where(F.col(fold) != number), stages, scaler).transform(train.where(F.col(fold) == number)))
 
     with ThreadPool(max(1, parallelism)) as pool:
         best, *scores = pool.map(inheritable_thread_target(train.sparkSession)(fitted), [None, *range(folds)], chunksize=1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import OneVsRestModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,10 +24,12 @@ from caseloom.operators.tickets import (
 from caseloom.operators.transforms import choose_scaler, needs_log, outlier_counts
 from caseloom.operators.validate import detect_problem_type, validate_inputs
 from caseloom.plans.features import FeatureRecipe, fit_features
-from caseloom.plans.models import CV_FOLDS, RAW, cross_validate, default_models, scaler_stage
+from caseloom.plans.models import CV_FOLDS, FIT, RAW, cross_validate, default_models, fit_pipeline
 from caseloom.session import cut_lineage
 
 ROW, FOLD, FOLD_SEED = "__row", "__fold", 43
+#: Rows of each class and fold that a bound on the fitted rows keeps, as far as there are so many.
+FIT_LEAST = 20
 
 
 @dataclass
@@ -96,6 +98,19 @@ def _predictions(model: PipelineModel, test: DataFrame, was_log: bool) -> DataFr
     return scored.select(F.expm1("label").alias("label"), F.expm1("prediction").alias("prediction")) if was_log else scored
 
 
+def mark_fit_rows(rows: DataFrame, fit_rows: int, key: str, strata: list[str]) -> DataFrame:
+    """Adds FIT: true for `fit_rows` rows, the first by a hash of the row's key, so that rows with equal features are told apart.
+
+    Strata have their share, small ones about FIT_LEAST rows.
+    """
+    counts = rows.groupBy(*strata).agg(F.count("*").alias("__n"))
+    least = FIT_LEAST * rows.count() / fit_rows
+    share = F.shiftrightunsigned(F.xxhash64(F.lit(FOLD_SEED), key), 11) / F.lit(2.0**53)
+    placed = rows.join(counts, strata).withColumn("__at", share / F.greatest(F.lit(1.0), F.lit(least) / F.col("__n")))
+    last = placed.select("__at").orderBy("__at").limit(fit_rows).agg(F.max("__at")).first()[0]
+    return placed.withColumn(FIT, F.col("__at") <= F.lit(last)).drop("__n", "__at")
+
+
 def fit_models(
     training: DataFrame, models: dict[str, list], scaler: str, problem_type: str, folds: int = CV_FOLDS
 ) -> tuple[dict[str, PipelineModel], DataFrame]:
@@ -107,7 +122,7 @@ def fit_models(
             fitted[name] = checked.bestModel
             scores.append((name, float(checked.avgMetrics[0]), float(checked.stdMetrics[0])))
         else:
-            fitted[name] = Pipeline(stages=[scaler_stage(scaler), *stages]).fit(training)
+            fitted[name] = fit_pipeline(training, stages, scaler)
     metric = "cv_f1_macro" if problem_type == "classification" else "cv_r2"
     schema = f"model string, {metric}_mean double, {metric}_std double"
     return fitted, training.sparkSession.createDataFrame(scores, schema)

@@ -1,7 +1,8 @@
 """Evaluation, recommendation, models, training runs and scoring.
 
-Models run with their full settings: all trees, rounds, iterations and folds.  They are fitted on at most FIT_ROWS labelled
-rows, a documented bound; splits, features and evaluations cover all rows.  The queries about one training run share it.
+Models run with their full settings: all trees, rounds, iterations and folds.  Classifiers are fitted on at most FIT_ROWS
+labelled rows, a documented bound; regressors, scalers and fold scores of the single-model
+queries cover all rows; whole runs (`train`) still bound all fits.  The queries about one training run share it.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from caseloom.operators import metrics
 from caseloom.operators.encoding import encode_target, with_class_weights
 from caseloom.operators.splits import assign_folds, train_test
 from caseloom.plans.features import FeatureRecipe
-from caseloom.plans.models import cross_validate, default_models
+from caseloom.plans.models import FIT, cross_validate, default_models
 from caseloom.plans.scoring import check_rows, score
-from caseloom.plans.training import FOLD, TrainedRun, evaluate_models, fit_models, load_run, save_run, train
+from caseloom.plans.training import FOLD, ROW, TrainedRun, evaluate_models, fit_models, load_run, mark_fit_rows, save_run, train
 from registry.base import one_row, query, read, rounded, tickets, view
 from registry.combining import scratch
 
-#: Labelled rows that a model is fitted on in these queries.
+#: Labelled rows that a classifier is fitted on in these queries.
 FIT_ROWS = 2_000
 
 
@@ -147,27 +148,23 @@ LINE_RECIPE = FeatureRecipe(
 )
 
 
-def _bounded(rows: DataFrame) -> DataFrame:
-    """The first FIT_ROWS rows by content hash, in one partition as they are few."""
-    return rows.orderBy(F.xxhash64(*rows.columns)).limit(FIT_ROWS).coalesce(1)
-
-
 def _class_sides(spark: SparkSession, sf: str, folds: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Weighted training rows (with fold ids if asked for), and test rows, of the two-class target."""
+    """Weighted training rows (with fold ids if asked for) with FIT, and test rows, of the two-class target."""
     lines, _ = encode_target(view(spark, sf, "lines").withColumnRenamed("outcome", "label"), "label", ["late", "ok"])
     training, test = train_test(lines, 0.2, stratify="label")
-    keep = ["label", FOLD] if folds else ["label"]
+    strata = ["label", FOLD] if folds else ["label"]
     if folds:
         training = assign_folds(training, folds, stratify="label", seed=43, out=FOLD)
-    weighted = with_class_weights(LINE_RECIPE.apply(_bounded(training), keep), "label")
-    return weighted.persist(), LINE_RECIPE.apply(test, ["label"])
+    weighted = with_class_weights(training.withColumn(ROW, F.xxhash64(*training.columns)), "label")
+    marked = mark_fit_rows(weighted, FIT_ROWS, ROW, strata)
+    return LINE_RECIPE.apply(marked, [*strata, "weight", FIT]).persist(), LINE_RECIPE.apply(test, ["label"])
 
 
 def _value_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     lines = read(spark, sf, "lineitem")
     target = 10 * F.col("l_quantity") * (1 + F.col("l_discount")) + F.col("l_orderkey") % 5
     training, test = train_test(lines.withColumn("label", target), 0.2)
-    return LINE_RECIPE.apply(_bounded(training), ["label"]).persist(), LINE_RECIPE.apply(test, ["label"])
+    return LINE_RECIPE.apply(training, ["label"]).persist(), LINE_RECIPE.apply(test, ["label"])
 
 
 MODELS = {
