@@ -14,6 +14,7 @@ from caseloom.llm.packing import pack
 from caseloom.llm.pivots import exact_top
 from caseloom.llm.quality import fold, score_quality, train_quality
 from caseloom.llm.simhash import simhash_components
+from caseloom.llm.spelling import spelling_groups
 from caseloom.llm.substrings import find_repeats
 from caseloom.llm.urls import filter_urls
 from caseloom.llm.warc import archive_round_trip
@@ -83,6 +84,10 @@ def op10_pivots(spark: SparkSession, sf: str) -> DataFrame:
     return exact_top(_read(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_groups(_read(spark, sf, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_pivots": op10_pivots,
+    "op11_spelling": op11_spelling,
 }
 SQL: dict[str, str] = {}
 
@@ -191,3 +197,41 @@ SQL["op10_pivots"] = """
       FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+#: CRC-32 of a list of bytes; its table of 256 remainders follows from the polynomial.
+CRC = """
+    bits(b) AS (SELECT list_transform(range(0, 256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, k: xor(c >> 1, (c & 1) * 3988292384)))),"""
+
+
+def _crc(data: str) -> str:
+    """SQL of the unsigned CRC-32 of a list of bytes, given the table of CRC as the column b."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, x: xor(c >> 8, b[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+#: Two words are near if one is the other without a letter, or if both without the same letter are equal.
+SQL["op11_spelling"] = f"""
+    WITH RECURSIVE {CRC}
+    runs AS (
+      SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents)
+      GROUP BY ALL),
+    coded AS (
+      SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, 'null') || ':' || run, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)) AS bytes FROM runs),
+    hashed AS (SELECT run, n, {_crc("bytes")} AS h FROM coded, bits),
+    typed AS (
+      SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+    words AS (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, unnest(range(0, length(word))) AS u(i)),
+    pairs AS (
+      SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN words b ON b.word = a.rest
+      UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON b.word = a.rest
+      UNION SELECT a.word, b.word, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word),
+    best AS (SELECT word, count(*) AS n_near, min({{'m': -near_n, 'w': encode(near)}}) AS first FROM pairs GROUP BY word),
+    forms AS (
+      SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -first.m >= 2 * w.n THEN decode(first.w) END AS form, CASE WHEN -first.m >= 2 * w.n THEN -first.m END AS form_n
+      FROM words w LEFT JOIN best USING (word)),
+    paths(word, top) AS (SELECT word, word FROM forms UNION ALL SELECT p.word, f.form FROM paths p JOIN forms f ON f.word = p.top WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, p.top AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n
+    FROM forms f JOIN paths p ON p.word = f.word JOIN forms e ON e.word = p.top WHERE e.form IS NULL"""

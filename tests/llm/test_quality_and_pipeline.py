@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
@@ -70,6 +71,13 @@ def test_odd_rows_and_no_labels(spark):
     assert train_quality(docs, labelled, steps=2) is not None
 
 
+def plain_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def planted():
     rng = random.Random(6)
 
@@ -94,13 +102,18 @@ def test_near_copies_and_repeats_of_planted_cases(spark):
     docs = documents(spark, planted())
     kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 7, 9, 10]
+    # Row 3, with one word of 400 changed, goes if its fingerprint is within two bits of row 1's.
+    base = planted()[0][1]
+    near = (plain_fingerprint(base) ^ plain_fingerprint(planted()[2][1])).bit_count() <= 2
+    assert sorted(r.doc_id for r in kept.collect()) == [1, *([] if near else [3]), 4, 5, 6, 7, 9, 10]
     cut = corpus_pipeline.cut_repeats(spark, kept, SF)
     assert cut.schema == docs.select(cut.columns).schema or cut.columns == docs.columns
     before = {r.doc_id: r for r in kept.collect()}
     for r in cut.collect():
         if r.doc_id in (4, 5):
             assert len(r.text.split()) == len(before[r.doc_id].text.split()) - 60 and r.n_chars == len(r.text)
+        elif r.doc_id in (1, 3) and not near:
+            assert r.text in (base.split()[200], "changed")  # the passages on both sides of the changed word repeat
         else:
             assert r == before[r.doc_id]
 
@@ -116,6 +129,49 @@ def test_stages_in_order_keep_the_columns(spark):
     assert pieces.select("doc_id").distinct().count() == docs.count()
 
 
+def test_columns_named_like_results_stay(spark):
+    docs = spark.createDataFrame(
+        [(1, "good words here", 7, 8, 9, "r", "k", 1), (2, None, 7, 8, 9, "r", "k", 1)],
+        "doc_id bigint, text string, score int, n_words int, n_removed int, removed string, kept_text string, predicted int")
+    for stage in (corpus_pipeline.cut_repeats, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_low_quality):
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns
+        assert {tuple(r)[2:] for r in found.collect()} <= {(7, 8, 9, "r", "k", 1)}
+
+
+def test_near_copies_match_brute_force(spark):
+    """The smallest id of each component of fingerprints at two bits or fewer stays, and nothing else."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, plain_fingerprint(r.text)) for r in docs.select("doc_id", "text").collect()]
+    prints = sorted({f for _, f in rows})
+    root = {f: f for f in prints}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if (a ^ b).bit_count() <= 2:
+                root[find(a)] = find(b)
+    least = {}
+    for key, f in rows:
+        least[find(f)] = min(key, least.get(find(f), key))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(least.values())
+
+
+def test_a_large_group_of_copies_and_a_shared_line(spark):
+    """A third of all rows are copies: one stays.  Texts of their own around one long shared passage all stay."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    copy, line = prose(120), prose(20)
+    rows = [(i, copy) for i in range(300)] + [(1000 + i, f"{prose(90)} {line}") for i in range(600)]
+    kept = corpus_pipeline.drop_near_copies(spark, documents(spark, rows), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(1000, 1600)]
+
+
 def test_stages_of_nothing(spark):
     none = documents(spark, planted()).limit(0)
     for _, stage in corpus_pipeline.STAGES:
