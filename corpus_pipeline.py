@@ -5,37 +5,53 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseloom.llm.jaccard import drop_copies
 from caseloom.llm.packing import pack
 from caseloom.llm.quality import score_quality, train_quality
+from caseloom.llm.simhash import keep_one_of_each
 from caseloom.llm.substrings import find_repeats
 from caseloom.session import cut_lineage
 
-#: Words of a shingle; texts whose distinct shingles have a Jaccard similarity of 0.8 or more are near copies.
-SHINGLE = 5
+#: Words of a shingle and differing bits up to which fingerprints link.
+SHINGLE, DISTANCE = 3, 2
 #: Words of a passage that may not repeat, and tokens of a sequence.
 PASSAGE, CAPACITY = 50, 1024
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """(row, text): the other columns as one struct, so that no name of theirs meets a name of an operator."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others, F.lit(0).alias("caseloom_row")).alias("row"), "text")
+
+
+def _together(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns])
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from `labels`, does not reject.  Unlabelled ones are judged like all others."""
+    """Documents that the classifier, learned from `labels`, does not reject.  Unlabelled ones are judged like all others.
+
+    All columns of `docs` stay as they are, those called score or predicted too.
+    """
     net = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, net).where("predicted = 1").select(*docs.columns)
+    return _together(score_quality(_apart(docs), net).where("predicted = 1"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    return drop_copies(docs, shingle=SHINGLE)
+    """One document of each group of near fingerprints: the one with the smallest doc_id."""
+    return keep_one_of_each(docs, shingle=SHINGLE, bits=64, max_distance=DISTANCE)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the passages that occur more than once; texts without such a passage stay as they are."""
-    found = find_repeats(docs, window=PASSAGE)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    found = found.withColumn("text", text)
+    """All documents without the passages that occur more than once; texts without such a passage stay as they are.
+
+    n_chars, where `docs` has it, follows a cut text; all other columns stay as they are, whatever their names.
+    """
+    found = find_repeats(_apart(docs), window=PASSAGE)
+    cut = found.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    kept = _together(cut, docs.columns)
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
