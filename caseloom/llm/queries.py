@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseloom.llm.bpe import decode, encode
 from caseloom.llm.chat import conversation_digests, format_windows
+from caseloom.llm.licenses import PHRASES, STEP, TEMPLATES, needed, scan_licenses, token_sets
 from caseloom.llm.nearest import nearest
 from caseloom.llm.packing import pack
 from caseloom.llm.pivots import exact_top
@@ -16,6 +17,7 @@ from caseloom.llm.quality import fold, score_quality, train_quality
 from caseloom.llm.simhash import simhash_components
 from caseloom.llm.spelling import spelling_groups
 from caseloom.llm.substrings import find_repeats
+from caseloom.llm.trie import prefix_trie
 from caseloom.llm.urls import filter_urls
 from caseloom.llm.warc import archive_round_trip
 
@@ -23,6 +25,9 @@ RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
 )
 
+#: Share of a template's tokens that a block has to hold.
+CONTAINMENT = 0.9
+
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
@@ -88,6 +93,14 @@ def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
     return spelling_groups(_read(spark, sf, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf, "documents"), threshold=CONTAINMENT).drop("matches")
+
+
+def op13_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie(_read(spark, sf, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -100,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_pivots": op10_pivots,
     "op11_spelling": op11_spelling,
+    "op12_licenses": op12_licenses,
+    "op13_trie": op13_trie,
 }
 SQL: dict[str, str] = {}
 
@@ -235,3 +250,57 @@ SQL["op11_spelling"] = f"""
     paths(word, top) AS (SELECT word, word FROM forms UNION ALL SELECT p.word, f.form FROM paths p JOIN forms f ON f.word = p.top WHERE f.form IS NOT NULL)
     SELECT f.word, f.form, p.top AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n
     FROM forms f JOIN paths p ON p.word = f.word JOIN forms e ON e.word = p.top WHERE e.form IS NULL"""
+
+_SETS = ", ".join(f"({i}, '{label}', {tokens}, {needed(len(tokens), CONTAINMENT)})" for i, ((label, _), tokens) in enumerate(zip(TEMPLATES, token_sets(TEMPLATES))))
+_PHRASES = ", ".join(f"({phrase.split()}, '{label}')" for phrase, label in PHRASES)
+
+#: Every block of every text against every template; blocks are windows of 2 * STEP words, STEP words apart.
+SQL["op12_licenses"] = rf"""
+    WITH templates(number, label, tokens, need) AS (VALUES {_SETS}), phrases(phrase, label) AS (VALUES {_PHRASES}),
+    w AS (
+      SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+    places AS (
+      SELECT r, i, label FROM w, unnest(range(0, len(words))) AS u(i), phrases
+      WHERE words[i + 1] = phrase[1] AND list_slice(words, i + 1, i + len(phrase)) = phrase),
+    base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base_labels FROM places GROUP BY r),
+    blocks AS (
+      SELECT r, list_distinct(list_slice(words, j * {STEP} + 1, (j + 2) * {STEP})) AS held FROM w, unnest(range(0, (len(words) + {STEP - 1}) // {STEP})) AS u(j)),
+    met AS (
+      SELECT r, label, len(list_intersect(held, tokens)) / len(tokens) AS share FROM blocks, templates
+      WHERE len(list_intersect(held, tokens)) >= need),
+    best AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM met GROUP BY r)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+      array_to_string(list_sort(coalesce(base_labels, [])), ',') AS base_labels,
+      array_to_string(list_sort(list_distinct(list_concat(coalesce(base_labels, []), coalesce(labels, [])))), ',') AS labels,
+      CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+    FROM w LEFT JOIN base USING (r) LEFT JOIN best USING (r)"""
+
+#: Nodes by their whole sequence of turns; totals over all nodes below, found by a member's deeper nodes.
+SQL["op13_trie"] = f"""
+    WITH RECURSIVE {CRC}
+    turns AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place, role, text
+      FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+    own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY place) AS said FROM turns GROUP BY conv_id),
+    hashed AS (SELECT conv_id, said, {_crc("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)")} % 9 AS h FROM own, bits),
+    mixed AS (
+      SELECT a.conv_id, CASE WHEN a.conv_id % 5 = 0 THEN a.said
+        ELSE list_concat(coalesce(list_slice(b.said, 1, a.h), []), list_slice(a.said, a.h + 1, len(a.said))) END AS said
+      FROM hashed a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+    steps AS (SELECT conv_id, len(said) AS turns, d AS depth, md5(list_slice(said, 1, d)::VARCHAR) AS key, CASE WHEN d > 0 THEN strlen(said[d].text) ELSE 0 END AS bytes
+      FROM mixed, unnest(range(0, len(said) + 1)) AS u(d)),
+    nodes AS (
+      SELECT depth, key, min(conv_id) AS node, count(*) AS n_convs, any_value(bytes) AS bytes,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = turns), '')) AS ends_sha256
+      FROM steps GROUP BY depth, key),
+    named AS (SELECT a.conv_id, a.depth, n.node FROM steps a JOIN nodes n ON n.depth = a.depth AND n.key = a.key),
+    tree AS (
+      SELECT n.*, p.node AS up, coalesce(c.n, 0) AS n_children FROM nodes n
+      LEFT JOIN named p ON p.conv_id = n.node AND p.depth = n.depth - 1
+      LEFT JOIN (SELECT p.node, p.depth, count(*) AS n FROM nodes n JOIN named p ON p.conv_id = n.node AND p.depth = n.depth - 1 GROUP BY ALL) c ON c.node = n.node AND c.depth = n.depth),
+    totals AS (
+      SELECT a.node, a.depth, sum((t.n_children = 0)::INT) AS n_leaves, sum((t.n_convs - 1) * t.bytes) AS saved
+      FROM tree t JOIN named a ON a.conv_id = t.node AND a.depth <= t.depth GROUP BY ALL)
+    SELECT t.node AS conv_id, t.depth, t.up AS parent_conv_id, t.n_convs, t.n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends_sha256
+    FROM tree t JOIN totals s ON s.node = t.node AND s.depth = t.depth"""
