@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from caseloom.functions.columns import col
 from caseloom.functions.values import NA_TOKENS, NUMBER_PATTERN
+from caseloom.sources.records import read_records
 
 FORMATS = ("csv", "parquet", "json", "orc")
 # Texts that are read as booleans.
@@ -26,8 +27,8 @@ def load_table(
 ) -> DataFrame:
     """A table by path.  For text files give a schema at scale: inferring types reads the data once more.
 
-    Quoted fields may hold line breaks, so a text file is read by one task.  `multiline=False` splits files over
-    tasks; it first checks that no line leaves a quote open.
+    Quoted fields of a CSV file may hold line breaks; a file is read by many tasks all the same (see read_records).
+    `multiline=False` is for files without them: it only checks that no line leaves a quote open.
     """
     fmt = fmt or format_of(path)
     if fmt not in FORMATS:
@@ -61,7 +62,7 @@ def read_csv(
         broken = spark.read.text(path).agg(F.count_if(quotes % 2 == 1)).first()[0]
         if broken:
             raise ValueError(f"{path!r} has line breaks in quoted fields ({broken} lines); read it with multiline=True")
-    raw = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=multiline)
+    raw = read_records(spark, path) if multiline else spark.read.csv(path, header=True, inferSchema=False, escape='"')
     texts = raw.select(*[F.when(~col(c).isin(*NA_TOKENS), col(c)).alias(c) for c in raw.columns])
     if schema is None:
         return typed(texts)
