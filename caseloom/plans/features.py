@@ -78,9 +78,12 @@ class FeatureRecipe:
 
 
 def fit_features(
-    train: DataFrame, target: str, target_is_class: bool, max_categories: int | None = None
+    train: DataFrame, target: str, target_is_class: bool, max_categories: int | None = None, selection: str = "bins",
 ) -> FeatureRecipe:
-    """Learn medians, categories, sqrt/log variants and the informative features, all from training rows."""
+    """Learn medians, categories, sqrt/log variants and the informative features, all from training rows.
+
+    `selection` names the estimate of mutual information (see select_features).
+    """
     numeric = numeric_columns(train, but=[target])
     booleans = [c for c, t in train.dtypes if t == "boolean" and c != target]
     medians = {c: m for c, m in exact_medians(train, numeric).items() if m is not None}
@@ -91,5 +94,5 @@ def fit_features(
     positive = non_negative_columns(train.select(*[base.numeric_value(c).alias(c) for c in numeric]), numeric) if numeric else []
     names = [*numeric, *[f"{c}{s}" for c in positive for s in VARIANTS if f"{c}{s}" not in numeric]]
     table = train.select(col(target), *base.expressions(names, train.columns))
-    kept, dropped = select_features(table, names, target, target_is_class)
+    kept, dropped = select_features(table, names, target, target_is_class, method=selection)
     return FeatureRecipe(base.numeric, medians, base.categories, base.booleans, tuple(kept), tuple(dropped))

@@ -153,21 +153,6 @@ def permutation_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return selection.noise_threshold(joint)
 
 
-@query("best_variants", f"""
-    SELECT base, feature, round(mi, 6) AS mi FROM (
-      SELECT regexp_replace(feature, '(_sqrt|_log)$', '') AS base, feature, mi,
-        row_number() OVER (PARTITION BY regexp_replace(feature, '(_sqrt|_log)$', '') ORDER BY round(mi, 12) DESC, rank) AS pos
-      FROM (SELECT feature, mi, 0 AS rank FROM ({MI_SQL}) UNION ALL SELECT feature || '_sqrt', mi * 0.9, 1 FROM ({MI_SQL})
-            UNION ALL SELECT feature || '_log', mi * 1.1, 2 FROM ({MI_SQL}) WHERE feature = 'l_quantity') v) w
-    WHERE pos = 1 AND mi > 0.01""")
-def best_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of three variants per family; the best above 0.01 nats is kept."""
-    raw = selection.mutual_information(view(spark, sf, "lines"), MI_FEATURES, "outcome", True)
-    scores = raw.unionByName(raw.select(F.concat("feature", F.lit("_sqrt")).alias("feature"), (F.col("mi") * 0.9).alias("mi")))
-    logs = raw.where(F.col("feature") == "l_quantity").select(F.concat("feature", F.lit("_log")).alias("feature"), (F.col("mi") * 1.1).alias("mi"))
-    return rounded(selection.best_variants(scores.unionByName(logs), 0.01))
-
-
 @query("selected_features")
 def selected(spark: SparkSession, sf: str) -> DataFrame:
     kept, dropped = selection.select_features(view(spark, sf, "lines"), MI_FEATURES, "outcome", True)
