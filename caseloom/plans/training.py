@@ -24,12 +24,14 @@ from caseloom.operators.tickets import (
 from caseloom.operators.transforms import choose_scaler, needs_log, outlier_counts
 from caseloom.operators.validate import detect_problem_type, validate_inputs
 from caseloom.plans.features import FeatureRecipe, fit_features
-from caseloom.plans.models import CV_FOLDS, FIT, RAW, cross_validate, default_models, fit_pipeline
+from caseloom.plans.models import CV_FOLDS, FIT, cross_validate, default_models, fit_pipeline
 from caseloom.session import cut_lineage
 
 ROW, FOLD, FOLD_SEED = "__row", "__fold", 43
 #: Rows of each class and fold that a bound on the fitted rows keeps, as far as there are so many.
 FIT_LEAST = 20
+#: Training rows of a task at least, where there are so many.
+TASK_ROWS = 20_000
 
 
 @dataclass
@@ -141,15 +143,17 @@ def evaluate_models(
 def train(
     df: DataFrame, target: str | None = None, task: str | None = None, priority: str | None = None,
     test_size: float = 0.2, folds: int = CV_FOLDS, effort: float = 1.0, only: list[str] | None = None,
-    day_first: bool = False, fit_rows: int | None = None,
+    day_first: bool = False, fit_rows: int | None = None, selection: str = "bins",
 ) -> TrainedRun:
     """Train the default models for a target column or a ticket task and recommend one.
 
     The split comes first and everything learned (text vocabulary, medians, categories, feature
     choice, scaler, models) is learned from training rows only.  Cleaned rows are written to the
     checkpoint folder once, as the fits read them many times.  `priority` is the test metric to
-    recommend by; without it the cross-validation mean decides.  `fit_rows` bounds the training rows the models are
-    fitted on (the first by content hash); checks, features and the evaluation use all rows.
+    recommend by; without it the cross-validation mean decides.  `fit_rows` bounds the rows that classifiers are fitted
+    on (see mark_fit_rows); regressors are fitted on all training rows, and checks, features, scalers, class weights, fold
+    scores and the evaluation use all rows in any case.  `selection` is the estimate that chooses numeric features: over
+    `bins`, or by nearest `neighbours`, which can prefer a square root or logarithm.
     """
     spark = df.sparkSession
     check_test_size(test_size)
@@ -169,9 +173,10 @@ def train(
     cleaned, clean_report = clean_table(df, target, impute=False, row_id=ROW)
     by_class = target if is_class else None
     train_rows, test_rows = train_test(cleaned, test_size, stratify=by_class, key=ROW)
-    # Folds are drawn while rows are still distinct; later many rows share the same features.
-    train_rows = assign_folds(train_rows, max(2, folds), stratify=by_class, seed=FOLD_SEED, key=ROW, out=FOLD).drop(ROW)
+    # Folds are drawn by the row's key, and so are the rows to fit: later many rows share the same features.
+    train_rows = assign_folds(train_rows, max(2, folds), stratify=by_class, seed=FOLD_SEED, key=ROW, out=FOLD)
     test_rows = test_rows.drop(ROW)
+    marks = [FOLD, ROW]
 
     ticket_recipe = None
     if task:
@@ -180,13 +185,13 @@ def train(
             as_numbers(apply_recipe(part, ticket_recipe), target) for part in (train_rows, test_rows)
         )
         train_rows = cut_lineage(train_rows)  # so that texts are read once, not in every later pass
-    was_log = needs_log(train_rows, target, problem)
+    was_log = needs_log(train_rows.drop(*marks), target, problem)
     labels: list[str] = []
     balance = None
     if is_class:
         balance, labels = class_balance(cleaned, target), label_list(cleaned, target)
 
-    recipe = fit_features(train_rows.drop(FOLD), target, is_class)
+    recipe = fit_features(train_rows.drop(*marks), target, is_class, selection=selection)
     if not recipe.features:
         raise ValueError("no informative feature is left; try another target")
 
@@ -195,7 +200,7 @@ def train(
             coded, _ = encode_target(part.withColumn("label", col(target)), "label", labels)
         else:
             coded = part.withColumn("label", F.log1p(number(target)) if was_log else number(target))
-        keep = ["label", *[c for c in coded.columns if c == FOLD]]
+        keep = ["label", *[c for c in coded.columns if c in marks]]
         return recipe.apply(coded.where(F.col("label").isNotNull()), keep)
 
     training = inputs(train_rows)
@@ -204,13 +209,16 @@ def train(
     scaler = choose_scaler(outliers.count(), len(recipe.features))
     if is_class:
         training = with_class_weights(training, "label")
-    if fit_rows is not None:
-        training = training.orderBy(F.xxhash64(*[F.col(c) for c in training.columns if c != RAW], F.col(RAW).cast("string"))).limit(fit_rows).coalesce(1)
-    training = cut_lineage(training)
+        if fit_rows is not None:
+            training = mark_fit_rows(training, fit_rows, ROW, ["label", FOLD])
+    # Fits pass over the rows hundreds of times: a small table lies in few files, so that tasks do not outweigh the rows.
+    training = training.drop(ROW)
+    training = cut_lineage(training.coalesce(max(1, -(-training.count() // TASK_ROWS))))
+    fitted = training.where(FIT) if FIT in training.columns else training
     test = inputs(test_rows).persist()
 
     chosen = {
-        name: stages for name, stages in default_models(problem, training.count(), len(labels), effort).items()
+        name: stages for name, stages in default_models(problem, fitted.count(), len(labels), effort).items()
         if not only or name in only
     }
     models, cv = fit_models(training, chosen, scaler, problem, folds)
@@ -218,7 +226,7 @@ def train(
     test.unpersist()
     best = recommend(results, problem, priority) if priority or not folds else recommend_by_cv(cv, problem)
 
-    sources = [c for c in train_rows.columns if c not in (target, FOLD)]
+    sources = [c for c in train_rows.columns if c not in (target, *marks)]
     return TrainedRun(
         problem_type=problem, target=target, was_log_transformed=was_log, labels=labels, scaler=scaler, recipe=recipe,
         ticket_recipe=ticket_recipe,

@@ -3,8 +3,9 @@
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from caseloom.plans import training as runs
 from caseloom.plans.models import FIT, RAW, default_models, fit_pipeline
-from caseloom.plans.training import mark_fit_rows
+from caseloom.plans.training import mark_fit_rows, train
 from registry.learning import FIT_ROWS, _value_sides
 
 
@@ -30,3 +31,37 @@ def test_regressors_see_all_training_rows(spark):
     training, test = _value_sides(spark, sf)
     whole = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert training.count() == whole - test.count() > FIT_ROWS
+
+
+def seen_rows(monkeypatch):
+    """The table that the models of a run are fitted on, as fit_models gets it."""
+    seen, fit = {}, runs.fit_models
+
+    def watched(table, models, scaler, problem, folds):
+        seen.update(rows=table.count(), marked=table.where(FIT).count() if FIT in table.columns else None, copies=table.where(F.col("label") >= 0).groupBy(RAW).count().agg(F.max("count")).first()[0])
+        if FIT in table.columns:
+            seen["marked_copies"] = table.where(FIT).groupBy(RAW).count().agg(F.max("count")).first()[0]
+        return fit(table, models, scaler, problem, folds)
+
+    monkeypatch.setattr(runs, "fit_models", watched)
+    return seen
+
+
+def test_a_regression_run_is_fitted_on_all_rows(spark, monkeypatch):
+    seen = seen_rows(monkeypatch)
+    table = spark.range(600).select((F.col("id") * 1.0).alias("a"), (F.col("id") % 7 * 1.0).alias("b"), (F.col("id") * 3 + F.col("id") % 7).cast("double").alias("goal"))
+    run = train(table, "goal", folds=0, only=["Ridge Regression"], fit_rows=50)
+    assert seen["rows"] == 480 and seen["marked"] is None
+    assert run.results.first()["r2"] > 0.99
+
+
+def test_a_class_run_marks_rows_by_their_key(spark, monkeypatch):
+    """A third of all rows have equal features: they are fitted on in their share, not as one block."""
+    seen = seen_rows(monkeypatch)
+    copy = F.col("id") % 3 == 0
+    a, b = F.when(copy, 0.5).otherwise(F.rand(3)).alias("a"), F.when(copy, 0.25).otherwise(F.rand(9)).alias("b")
+    table = spark.range(1500).select(F.col("id").alias("row_id"), a, b).withColumn("kind", F.when(F.col("a") > 0.5, "hi").otherwise("lo"))
+    run = train(table, "kind", folds=2, only=["Logistic Regression"], fit_rows=300)
+    assert seen["rows"] == 1200 and seen["marked"] == 300
+    assert 0.5 < (seen["marked_copies"] / seen["marked"]) / (seen["copies"] / seen["rows"]) < 1.6
+    assert run.results.first()["accuracy"] > 0.8
