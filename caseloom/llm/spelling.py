@@ -2,7 +2,8 @@
 
 Letters are hashed to a few symbols, which makes the full one-edit neighbourhood of a reduced word small.  The
 neighbourhoods are generated once per reduced word and joined with the reduced vocabulary; what meets there is verified
-on the words themselves.  Reduced words are told by a polynomial hash, so a neighbour costs eight bytes at any length.
+on the words themselves.  All joins are told to sort, as tables of words compress so well that Spark would take them for
+small enough to broadcast at any size.  Reduced words are told by a polynomial hash, so a neighbour costs eight bytes at any length.
 Words of reduced words that very many words share are not paired with each other but taken to a finer alphabet.
 """
 
@@ -190,13 +191,13 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS, crowd: int = CROWD) ->
     while True:
         level = cut_lineage(with_key(left, symbols))
         forms = level.groupBy("key").agg(F.min("word").alias("word"), F.count("*").cast("int").alias("crowd"))
-        sized = level.join(forms.select("key", "crowd"), "key")
+        sized = level.join(forms.select("key", "crowd").hint("merge"), "key")
         there = sized.select(F.col("key").alias("near_key"), F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("crowd").alias("near_crowd"))
         met = (
-            neighbourhoods(forms, symbols).join(there, "near_key")
+            neighbourhoods(forms, symbols).join(there.hint("merge"), "near_key")
             .where((F.col("crowd") <= crowd) | (F.col("near_crowd") <= crowd)).select("key", "near", "near_n")
         )
-        found.append(met.join(level.select("key", "word"), "key").where(one_edit(F.col("word"), F.col("near"))).select("word", "near", "near_n"))
+        found.append(met.join(level.select("key", "word").hint("merge"), "key").where(one_edit(F.col("word"), F.col("near"))).select("word", "near", "near_n"))
         left = sized.where(F.col("crowd") > crowd).select("word", "n")
         if symbols > 0x10FFFF or left.isEmpty():
             break
@@ -215,7 +216,7 @@ def follow(forms: DataFrame) -> DataFrame:
     steps = cut_lineage(forms.select("word", F.col("form").alias("root")))
     while True:
         after = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        steps = cut_lineage(steps.join(after, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        steps = cut_lineage(steps.join(after.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         moving, steps = not steps.where("moved").isEmpty(), steps.drop("moved")
         if not moving:
             return steps
@@ -235,9 +236,9 @@ def spelling_groups(
     words = cut_lineage(count_words(docs, id_col, text_col, shortest, fewest, rate))
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("best")
     near = near_words(words, symbols, crowd).groupBy("word").agg(F.count("*").alias("n_near"), best)
-    known = words.join(near, "word", "left").withColumn("first_n", -F.col("best.less"))
+    known = words.join(near.hint("merge"), "word", "left").withColumn("first_n", -F.col("best.less"))
     kept = F.col("first_n") >= ratio * F.col("n")
     known = cut_lineage(known.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(kept, F.col("best.near")).alias("form"), F.when(kept, F.col("first_n")).alias("form_n")))
     roots = follow(known.where("form IS NOT NULL").select("word", "form"))
-    return known.join(roots, "word", "left").select("word", "n", "form", F.coalesce("root", "word").alias("root"), "n_near", "form_n")
+    return known.join(roots.hint("merge"), "word", "left").select("word", "n", "form", F.coalesce("root", "word").alias("root"), "n_near", "form_n")
