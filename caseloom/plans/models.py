@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.util import inheritable_thread_target
 
 from caseloom.operators.metrics import classification_metrics
+from caseloom.plans.boosting import SoftmaxBoosting
 from caseloom.plans.kernels import FourierKernel, InsensitiveRegression, PenaltyByRows
 
 RAW, SCALED = "raw_features", "features"
@@ -67,7 +68,7 @@ def classifiers(classes: int, rows: int, effort: float = 1.0, weight: str = "wei
         predictionCol="svm_prediction", standardization=False,
     )
     if classes > 2:
-        boosting = OneVsRest(classifier=boosting)
+        boosting = SoftmaxBoosting(classes=classes, maxIter=boosts, stepSize=0.1, maxDepth=3, seed=SEED)
         machine = OneVsRest(
             classifier=machine, featuresCol="kernel_features", weightCol=weight, predictionCol="svm_prediction"
         )

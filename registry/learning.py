@@ -1,14 +1,15 @@
 """Evaluation, recommendation, models, training runs and scoring.
 
 Models run with their full settings: all trees, rounds, iterations and folds.  Classifiers are fitted on at most FIT_ROWS
-labelled rows, a documented bound; regressors, scalers and fold scores of the single-model
-queries cover all rows; whole runs (`train`) still bound all fits.  The queries about one training run share it.
+labelled rows, a documented bound; regressors, scalers, class weights and fold scores cover all rows, in whole runs too.
+The queries about one training run share it.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caseloom.operators import metrics
@@ -202,6 +203,35 @@ for _problem, _names in MODELS.items():
                 "model", "test_rows", (F.col(metric) >= REACHED.get(name, REACHED[problem])).alias("reached"))
 
 
+#: The two-class lines in three classes, by the same value.
+THREE = """(SELECT *, CASE WHEN l_quantity * (1 - l_discount) > 33 THEN 'high' WHEN l_quantity * (1 - l_discount) > 16 THEN 'mid' ELSE 'low' END AS size FROM lineitem)"""
+
+
+@query("model_three_class_boosting", f"""
+    SELECT 'Gradient Boosting' AS model, (SELECT CAST(sum(round(n * 0.2)) AS BIGINT) FROM (SELECT count(*) AS n FROM {THREE} t GROUP BY size) c) AS test_rows,
+      true AS reached, 3::BIGINT AS classes, true AS sure""")
+def three_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boosting with one tree per class and round: test rows, whether it reaches the mark, and probabilities that add up to 1.
+
+    It takes 30 rounds, of 100 by default, as each round is a dozen small jobs.
+    """
+    value = F.col("l_quantity") * (1 - F.col("l_discount"))
+    sized = F.when(value > 33, "high").when(value > 16, "mid").otherwise("low")
+    lines, _ = encode_target(read(spark, sf, "lineitem").withColumn("label", sized), "label", ["high", "low", "mid"])
+    training, test = train_test(lines, 0.2, stratify="label")
+    weighted = with_class_weights(training.withColumn(ROW, F.xxhash64(*training.columns)), "label")
+    rows = LINE_RECIPE.apply(mark_fit_rows(weighted, FIT_ROWS, ROW, ["label"]), ["label", "weight", FIT]).persist()
+    stages = default_models("classification", FIT_ROWS, 3, effort=0.3)["Gradient Boosting"]
+    models, _ = fit_models(rows, {"Gradient Boosting": stages}, "standard", "classification", folds=0)
+    rows.unpersist()
+    tested = LINE_RECIPE.apply(test, ["label"])
+    chances = vector_to_array("probability")
+    found = models["Gradient Boosting"].transform(tested).agg(
+        F.count("*").alias("test_rows"), (F.avg((F.col("label") == F.col("prediction")).cast("double")) >= REACHED["classification"]).alias("reached"),
+        F.max(F.size(chances)).cast("bigint").alias("classes"), F.bool_and(F.abs(F.aggregate(chances, F.lit(0.0), lambda a, b: a + b) - 1) < 1e-9).alias("sure"))
+    return found.select(F.lit("Gradient Boosting").alias("model"), "*")
+
+
 @query("cross_validation", "SELECT 'Logistic Regression' AS model, count(DISTINCT outcome) AS classes, true AS reached, true AS steady FROM {lines} t")
 def folds_scored(spark: SparkSession, sf: str) -> DataFrame:
     """Five stratified folds of logistic regression, the robust scaler fitted in each: mean and spread of macro F1."""
