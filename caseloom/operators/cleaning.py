@@ -7,21 +7,40 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.functions.columns import col, number, numeric_columns, require_columns
-from caseloom.operators.profile import present
+from caseloom.operators.profile import present, row_hashes
 from caseloom.operators.quantiles import exact_medians
 from caseloom.operators.splits import content_hash
 from caseloom.session import cut_lineage
 
 # Column names that are always identifiers.
 ID_COLUMNS = ("id", "patient_id", "index")
+#: Repeated rows' hashes up to which they are broadcast.
+REPEATED = 100_000
 
 
 def drop_null_target(df: DataFrame, target: str) -> DataFrame:
     return df.where(present(df.schema[target]).isNotNull())
 
 
-def drop_duplicates(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+def drop_duplicates(df: DataFrame, known: int = REPEATED) -> DataFrame:
+    """One row of each set of equal rows.
+
+    Two hashes of every row are shuffled first.  Only rows whose hashes occur twice are then moved and compared as a
+    whole; the others stay where they are.  With more than `known` repeated hashes all rows are moved.
+    """
+    if not df.columns:
+        return df.dropDuplicates()
+    hashed = df.select("*", *row_hashes(df))
+    repeated = hashed.groupBy("__h0", "__h1").agg(F.count("*").alias("n")).where("n > 1").select("__h0", "__h1")
+    found = repeated.limit(known + 1).collect()
+    if not found:
+        return df
+    if len(found) > known:
+        return df.dropDuplicates()
+    marks = F.broadcast(df.sparkSession.createDataFrame(found, repeated.schema))
+    same = ["__h0", "__h1"]
+    alone = hashed.join(marks, same, "left_anti").drop(*same).select(*[col(c) for c in df.columns])
+    return alone.union(hashed.join(marks, same, "left_semi").drop(*same).select(*[col(c) for c in df.columns]).dropDuplicates())
 
 
 def empty_columns(df: DataFrame) -> list[str]:

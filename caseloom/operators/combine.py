@@ -53,7 +53,8 @@ def pick_join_column(left: DataFrame, right: DataFrame) -> str:
     candidates = [c for c in shared if any(h in c.lower() for h in KEY_HINTS)] or shared
     if len(candidates) == 1:
         return candidates[0]
-    counts = left.agg(*[F.count_distinct(col(c)).alias(f"n{i}") for i, c in enumerate(candidates)]).first()
+    # One pass per candidate reads one column; several distinct counts in one pass would repeat every row for each.
+    counts = [left.select(col(c)).where(col(c).isNotNull()).distinct().count() for c in candidates]
     return candidates[max(range(len(candidates)), key=lambda i: (counts[i], -i))]
 
 

@@ -53,6 +53,9 @@ TABLES = (
     "pages", "benchmark", "labels", "conversations",
 )
 
+#: The numeric columns of order lines.
+LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
 VIEWS = {
     # Support tickets made from orders: mixed-case and padded texts, missing status, priority and target.
     "cases": """

@@ -13,7 +13,7 @@ from caseloom.operators.profile import column_stats, dataset_summary
 from caseloom.session import checkpoint_folder
 from caseloom.sources.sinks import log_run, run_history, write_csv, write_stats_json
 from caseloom.sources.tables import load_table
-from registry.base import one_row, query, read, union_all, view
+from registry.base import LINE_NUMBERS, one_row, query, read, union_all, view
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -157,24 +157,25 @@ def join_key_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("csv_sink", """
-    SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name_a, r_name AS name_b, count(c_custkey) AS customers
-    FROM nation JOIN region ON n_nationkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2, 3""")
+    SELECT CAST(n_regionkey AS BIGINT) AS key, n_name AS name_a, r_name AS name_b, count(c_custkey) AS customers
+    FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2, 3""")
 def csv_sink(spark: SparkSession, sf: str) -> DataFrame:
-    """A joined table written as text and read back."""
+    """All nations joined with their regions, written as text and read back."""
     customers = read(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
     nation = read(spark, sf, "nation").join(customers, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(
-        F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.coalesce("customers", F.lit(0)).alias("customers")
+        F.col("n_regionkey").alias("key"), F.col("n_name").alias("name"), F.coalesce("customers", F.lit(0)).alias("customers")
     )
     region = read(spark, sf, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
     path = write_csv(join_tables(nation, region, on="key"), scratch(spark, "nation_region_joined.csv"))
     return load_table(spark, path, "csv").select("key", "name_a", "name_b", "customers")
 
 
-@query("stats_json_sink", """
-    SELECT 'l_quantity' AS name, 'Numeric' AS type, round_even(avg(l_quantity), 2) AS mean, min(l_quantity) AS min,
-      max(l_quantity) AS max, count(DISTINCT l_quantity) AS unique_count FROM lineitem""")
+@query("stats_json_sink", union_all([f"""
+    SELECT '{c}' AS name, 'Numeric' AS type, round_even(avg({c}), 2) AS mean, round_even(min({c})::DOUBLE, 2) AS min,
+      round_even(max({c})::DOUBLE, 2) AS max, count(DISTINCT {c}) AS unique_count FROM lineitem""" for c in LINE_NUMBERS]))
 def stats_json_sink(spark: SparkSession, sf: str) -> DataFrame:
-    stats = column_stats(read(spark, sf, "lineitem").select("l_quantity"))
+    """Figures of all numeric columns, written as JSON and read back."""
+    stats = column_stats(read(spark, sf, "lineitem").select(*LINE_NUMBERS))
     path = write_stats_json(stats, scratch(spark, "stats.json"))
     return load_table(spark, path, "json").select("name", "type", "mean", "min", "max", "unique_count")
 

@@ -12,8 +12,8 @@ from caseloom.operators.compare import (
     distinct_values, feature_histograms, group_aggregate, scatter_sample, target_correlations, target_views,
     top_correlated,
 )
-from registry.base import query, read, rounded, union_all, view
-from registry.profiling import LINE_NUMBERS, bins_sql
+from registry.base import LINE_NUMBERS, query, read, rounded, union_all, view
+from registry.profiling import bins_sql
 
 
 @query("pearson_correlation", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS correlation FROM lineitem")
@@ -69,10 +69,10 @@ for _how, _sql in (("mean", "avg"), ("sum", "sum"), ("count", "count"), ("min",
 
 @query("correlation_matrix", union_all([
     f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem"
-    for a, b in product(LINE_NUMBERS[2:], LINE_NUMBERS[2:])
+    for a, b in product(LINE_NUMBERS, LINE_NUMBERS)
 ]))
 def matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(correlation_matrix(read(spark, sf, "lineitem"), LINE_NUMBERS[2:]))
+    return rounded(correlation_matrix(read(spark, sf, "lineitem"), LINE_NUMBERS))
 
 
 _TARGET_R = union_all([

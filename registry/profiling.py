@@ -10,13 +10,12 @@ from caseloom.operators.profile import (
 )
 from caseloom.operators.encoding import product_flags
 from caseloom.operators.validate import detect_problem_type, validate_inputs
-from registry.base import query, read, rounded, union_all, view
+from registry.base import LINE_NUMBERS, query, read, rounded, union_all, view
 from registry.combining import info_sql
 
 CUSTOMER_TYPES = {
     "c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string",
 }
-LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 LINE_OTHERS = ("l_returnflag", "l_linestatus", "l_shipdate")
 DIRTY_NUMBERS = ("case_key", "total", "patient_id", "empty_col", "const_col")
 DIRTY_COLUMNS = ("case_key", "total", "urgency", "state", "patient_id", "empty_col", "const_col", "is_large")
