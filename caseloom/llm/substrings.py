@@ -106,7 +106,8 @@ def find_repeats(
     text = F.col(f"`{text_col}`").cast("string")
     dealt = (
         rows.select(text.alias("text"), kept.alias("row"))
-        .withColumn("chunk", F.pmod(F.xxhash64("text", F.to_json("row")), F.lit(chunks)))
+        # Rows that repeat as a whole are dealt by the partition they lie in too, so that their copies share no chunk.
+        .withColumn("chunk", F.pmod(F.xxhash64("text", F.to_json("row"), F.spark_partition_id()), F.lit(chunks)))
         .repartition(chunks, "chunk")
     )
 
@@ -154,7 +155,8 @@ def find_repeats(
             ["row", "text", "n_words", "n_removed", "removed", "kept_text"])
 
     sent = dealt.groupBy("chunk").applyInArrow(send, "chunk bigint, bucket bigint, names binary")
-    answers = sent.groupBy("bucket").applyInArrow(count, ANSWER)
+    # As many partitions as buckets: what a task reads does not grow with the input.
+    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, ANSWER)
     added = "text string, n_words bigint, n_removed bigint, removed array<struct<from: bigint, to: bigint>>, kept_text string"
     schema = StructType([dealt.schema["row"], *StructType.fromDDL(added)])
     out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, schema)

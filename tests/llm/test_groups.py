@@ -161,3 +161,13 @@ def test_kept_digest_of_a_long_text(spark):
     found = find_repeats(spark.createDataFrame([(1, text), (2, "short")], DOCS), window=35).where("doc_id = 1").first()
     assert (found.n_words, found.n_removed) == (200_000, 0)
     assert hashlib.sha256(found.kept_text.encode()).hexdigest() == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_copies_of_one_row_are_spread_over_chunks(spark):
+    """Half of all rows repeat as a whole: no chunk holds most of them, and every copy is a repetition."""
+    copy = " ".join(f"c{i}" for i in range(40))
+    rows = [(1, copy)] * 600 + [(10 + i, " ".join(f"w{i}_{k}" for k in range(40))) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(12)
+    found = find_repeats(docs, window=35, chunk_bytes=4000, bucket_bytes=4000).withColumn("part", F.spark_partition_id())
+    assert found.where("doc_id = 1").select("part").distinct().count() > 2
+    assert sorted({(r.doc_id == 1, r.n_removed) for r in found.collect()}) == [(False, 0), (True, 40)]
