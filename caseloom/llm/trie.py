@@ -65,7 +65,8 @@ def members(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     at = cut_lineage(root.union(at))
     nodes = at.groupBy("depth", "k1", "k2").agg(
         F.min("conv_id").alias("node"), F.count("*").alias("n_convs"), F.sum(F.col("turns") - F.col("depth") + 1).alias("weight"))
-    named = at.join(nodes, ["depth", "k1", "k2"]).select("conv_id", "depth", "turns", "node", "n_convs", "weight", "bytes")
+    # Written first, so that the join has plain exchanges on both sides and Spark can split a first turn that most share.
+    named = at.join(cut_lineage(nodes), ["depth", "k1", "k2"]).select("conv_id", "depth", "turns", "node", "n_convs", "weight", "bytes")
     named = cut_lineage(named)
     above = named.select("conv_id", (F.col("depth") + 1).alias("depth"), F.col("node").alias("up"))
     return cut_lineage(named.join(above, ["conv_id", "depth"], "left"))
