@@ -18,6 +18,8 @@ HISTOGRAM_BINS = 10
 TOP_VALUES = 10
 MAX_OPTIONS = 50
 NUMERIC_TEXT_SHARE = 0.8
+#: Deviation of the sketch that leaves out columns with repeated texts; eight deviations below the rows still count.
+SKETCH_ERROR = 0.02
 
 
 def present(field: T.StructField) -> Column:
@@ -162,29 +164,44 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
+def _all_distinct(df: DataFrame, columns: Sequence[str], rows: int) -> list[str]:
+    """Those of the columns without a repeated value, by two hashes of each value's text."""
+    if not columns:
+        return []
+    texts = [col(c).cast("string") for c in columns]
+    entries = F.array(*[F.struct(F.lit(i).alias("c"), *[F.xxhash64(F.lit(seed), t).alias(f"h{seed}") for seed in (0, 1)]) for i, t in enumerate(texts)])
+    found = df.select(F.inline(entries)).distinct().groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") == rows).collect()
+    return [columns[r["c"]] for r in found]
+
+
 def alerts(df: DataFrame) -> DataFrame:
-    """`code, column, detail`: duplicate_rows, zero_variance, high_missing, unique_text_id."""
+    """`code, column, detail`: duplicate_rows, zero_variance, high_missing, unique_text_id.
+
+    One aggregate tells all but repeated rows: a column has one value if its least is its greatest, and a sketch of the
+    distinct texts leaves only columns that may be without a repetition, whose values alone are then compared by hashes.
+    """
     numeric = numeric_columns(df, booleans=True)
-    counts = value_counts(df).groupBy("column").agg(
-        F.count("*").alias("unique_count"), F.min("value").alias("only_value")
-    )
-    base = _one_row_per_column(df, {
-        f.name: {"n": F.count("*"), "missing": F.count("*") - F.count(present(f))} for f in df.schema
-    }).join(counts, "column", "left")
-    missing_pct = F.bround(F.try_divide(F.col("missing") * F.lit(100.0), F.col("n")), 1)
-    found = base.select(F.inline(F.array(
-        F.struct(F.lit("zero_variance").alias("code"), "column", F.col("only_value").alias("detail"),
-                 (F.col("unique_count") == 1).alias("hit")),
-        F.struct(F.lit("high_missing").alias("code"), "column", missing_pct.cast("string").alias("detail"),
-                 (missing_pct > MISSING_ALERT_PCT).alias("hit")),
-        F.struct(F.lit("unique_text_id").alias("code"), "column", F.col("n").cast("string").alias("detail"),
-                 ((F.col("unique_count") == F.col("n")) & ~F.col("column").isin(*numeric)).alias("hit")),
-    ))).where("hit").drop("hit")
+
+    def parts(f: T.StructField) -> dict[str, Column]:
+        value = present(f) if isinstance(f.dataType, T.AtomicType) else present(f).cast("string")
+        text = F.lit(None).cast("string") if f.name in numeric else value.cast("string")
+        return {
+            "n": F.count("*"), "missing": F.count("*") - F.count(present(f)), "single": F.coalesce(F.min(value) == F.max(value), F.lit(False)),
+            "least": F.min(value).cast("string"), "about": F.approx_count_distinct(text, SKETCH_ERROR),
+        }
+
+    pct = F.bround(F.try_divide(F.col("missing") * F.lit(100.0), F.col("n")), 1)
+    base = _one_row_per_column(df, {f.name: parts(f) for f in df.schema}).withColumns({"pct": pct.cast("string"), "many": pct > MISSING_ALERT_PCT})
+    rows = base.collect()
+    maybe = [r["column"] for r in rows if r["column"] not in numeric and r["n"] and not r["missing"] and r["about"] >= (1 - 8 * SKETCH_ERROR) * r["n"]]
+    unique = set(_all_distinct(df, maybe, rows[0]["n"] if rows else 0))
+    found = [("zero_variance", r["column"], r["least"]) for r in rows if r["single"]] + [("high_missing", r["column"], r["pct"]) for r in rows if r["many"]]
+    found += [("unique_text_id", r["column"], str(r["n"])) for r in rows if r["column"] in unique]
     duplicated = duplicate_count(df).where("duplicates > 0").select(
         F.lit("duplicate_rows").alias("code"), F.lit(None).cast("string").alias("column"),
         F.col("duplicates").cast("string").alias("detail"),
     )
-    return duplicated.unionByName(found)
+    return duplicated.unionByName(df.sparkSession.createDataFrame(found, "code string, column string, detail string"))
 
 
 def dataset_totals(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from caseloom.operators.compare import (
     distinct_values, feature_histograms, group_aggregate, scatter_sample, target_correlations, target_views,
     top_correlated,
 )
+from caseloom.operators.compare import TOP_FEATURES
 from registry.base import LINE_NUMBERS, query, read, rounded, union_all, view
 from registry.profiling import bins_sql
 
@@ -129,6 +130,20 @@ def target_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return result
 
 
+@query("target_scatter", f"""
+    SELECT feature, least(1000, (SELECT count(*) FROM lineitem)) AS drawn, 0::BIGINT AS unknown
+    FROM (SELECT feature FROM ({_TARGET_R}) r ORDER BY abs(r) DESC LIMIT {TOP_FEATURES})""")
+def target_scatter(spark: SparkSession, sf: str) -> DataFrame:
+    """The regression side: for each top feature how many pairs are drawn, and that all of them are pairs of the table."""
+    lines, result = read(spark, sf, "lineitem"), None
+    for name, pairs in target_views(lines, "l_extendedprice", "regression").items():
+        known = lines.select(F.col(name).alias("a"), F.col("l_extendedprice").alias("b")).distinct().withColumn("known", F.lit(True))
+        drawn = pairs.toDF("a", "b").join(known, ["a", "b"], "left")
+        one = drawn.agg(F.count("*").alias("drawn"), F.count_if(F.col("known").isNull()).alias("unknown")).select(F.lit(name).alias("feature"), "*")
+        result = one if result is None else result.unionByName(one)
+    return result
+
+
 @query("column_comparison", describe_sql("orders", "o_orderstatus", "o_totalprice"))
 def comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(compare_columns(read(spark, sf, "orders"), "o_totalprice", "o_orderstatus")["boxplot"], 4)
