@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from caseloom.session import cut_lineage
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Turn numbers whose prefix sums are added up in one place before whole blocks are.
 BLOCK = 256
@@ -83,7 +85,8 @@ def format_windows(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     ).withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
     unit = max(1, budget // 4)
-    rows = numbered(turns, unit, tokens).select("key", "conv_id", "role", "head", "piece", "tokens", "place", "begin", "span")
+    # Written once: five branches read the turns, each otherwise sorting and adding them up anew.
+    rows = cut_lineage(numbered(turns, unit, tokens).select("key", "conv_id", "role", "head", "piece", "tokens", "place", "begin", "span"))
     spans = rows.groupBy("key", "span").agg(F.min("place").alias("first"), F.min("begin").alias("from"))
     lead = F.min_by(F.struct("conv_id", "role", "head", "piece", "tokens", "place"), "place").alias("s")
     system = rows.where("role = 'system'").groupBy("key").agg(lead)
