@@ -86,7 +86,8 @@ def exact_top(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows where `queries` holds, the k highest inner products with all other rows.
 
-    Components are floor(scale * x); products and scores are exact in 64 bits.  Vectors that are null, empty or hold
+    Components are floor(scale * x); products and scores are exact in 64 bits, and vectors so long that a score might not
+    fit (a squared length over 2^62) are an error.  Vectors that are null, empty or hold
     null or non-finite components take no part, nor do null ids; zero vectors do.  Ties go to the smaller id; rows with
     equal vectors count as rows of their own; rows that repeat a query's id are its own.  Pivots are rows drawn by a
     hash of the id; any points give right results.
@@ -95,7 +96,10 @@ def exact_top(
     asked = rows.where(queries).select(F.col(id_col).cast("bigint").alias("vec_id"), scaled(F.col(vector_col), scale).alias("vector"))
     own = rows.select(F.col(id_col).cast("bigint").alias("vec_id"), scaled(F.col(vector_col), scale).alias("vector"))
     square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
-    radius = float(np.sqrt(own.agg(F.max(square)).first()[0] or 0.0)) * (1 + 1e-9)
+    longest = own.agg(F.max(square)).first()[0] or 0.0
+    if longest > 2.0**62:
+        raise ValueError("a vector is too long for exact scores in 64 bits; choose a smaller scale")
+    radius = float(np.sqrt(longest)) * (1 + 1e-9)
     drawn = [r[0] for r in own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("vector").collect()]
     width = max(map(len, drawn), default=1)
     points = np.array([v + [0] * (width - len(v)) for v in drawn] or [[0]], np.float64)

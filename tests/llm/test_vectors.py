@@ -58,6 +58,12 @@ def test_exact_top_of_few_rows(spark):
     assert exact_top(few.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("value", [1e9, 1e30])
+def test_scores_beyond_64_bits_are_an_error(spark, value):
+    with pytest.raises(ValueError, match="too long"):
+        exact_top(table(spark, np.zeros((0, 2)), [(50, [value, 0.0]), (51, [1.0, 2.0])]), F.col("vec_id") % 50 == 0)
+
+
 def test_small_tables_are_searched_whole(spark):
     data = rows(300)
     found = grouped(nearest(table(spark, data, ODD), F.col("vec_id") % 20 == 0, k=20))
