@@ -120,8 +120,9 @@ def subtree_totals(nodes: DataFrame, at: DataFrame, names: list[str], small: int
     top = tops.first()
     if top is None:
         return nodes.select("conv", "depth", *[F.col(c).alias(s) for c, s in zip(names, sums)])
+    # The root has no parent; a number in its place keeps the column whole, so that ids of any size stay exact in tasks.
     state = nodes.select(
-        "conv", "depth", "up", F.lit(top.top).alias("top"), F.lit(0).cast("bigint").alias("top_depth"), F.col("weight").alias("w"), F.lit(top.total).alias("total"),
+        "conv", "depth", F.coalesce("up", F.lit(0)).alias("up"), F.lit(top.top).alias("top"), F.lit(0).cast("bigint").alias("top_depth"), F.col("weight").alias("w"), F.lit(top.total).alias("total"),
         F.col("n_convs").alias("one"), *names, *[F.lit(0).cast("bigint").alias(s) for s in sums])
     known = at.select(F.col("conv_id").alias("conv"), F.col("depth").alias("look"), F.col("node").alias("to"), F.col("up").alias("to_up"))
     done, finished = [], []

@@ -72,6 +72,14 @@ def test_a_third_of_all_conversations_are_copies(spark):
     assert found(spark.createDataFrame(rows, TURNS), small=8) == plain_trie(rows)
 
 
+@pytest.mark.parametrize("small", [4096, 2])
+def test_ids_of_any_size(spark, small):
+    """Ids that doubles cannot tell apart."""
+    first = (1 << 60) // 5 * 5
+    rows = [(first + c, t, "user", f"turn {t + c // 7}") for c in range(30) for t in range(3)]
+    assert found(spark.createDataFrame(rows, TURNS), small=small) == plain_trie(rows)
+
+
 def test_turnless_conversations_and_nothing(spark):
     rows = [(c, 0, "user", "only") for c in (1, 2, 3, 4, 6, 7, 8)]
     assert found(spark.createDataFrame(rows, TURNS)) == plain_trie(rows)
