@@ -1,15 +1,19 @@
 """Harmonic packing of token sequences.
 
-Lengths are partitioned into classes 1/k of the capacity, and a bin of class k takes exactly k pieces.  Documents may
-be cut, so each is cut along the binary digits of its length: its pieces have exactly the lengths capacity / k for
-k = 1, 2, 4, ..., and every full bin is without padding.  Workers fill bins on their own, holding fewer than k open
-pieces per class.  At a worker's end the open pieces of all classes, longest first, fill further whole bins; what is
-left goes into bins whose sizes are powers of two, which need no padding either.
+Lengths are partitioned into classes 1/k of the capacity: class k holds the lengths above capacity / (k + 1) and up to
+capacity / k, and its bins take exactly k documents, whole.  Documents beyond the capacity first give off pieces of the
+whole capacity.  Workers fill bins on their own, with fewer than k open documents per class.  The gap that a bin's k
+documents leave waits for the next document that is no longer than all waiting gaps together: it is cut along them,
+longest gap first, and stays whole where it fits.  So a sequence costs one cut at most, and no full sequence is padded.
+At a worker's end the documents of open bins, at most some of them cut, fill whole bins and then bins whose sizes are
+powers of two, which need no padding either.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -19,53 +23,90 @@ from pyspark.sql import DataFrame, functions as F
 from caseloom.llm.tokens import gather, load_vocabulary, make_encoder, slices
 
 FIELDS = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+#: Fields of a piece: document, place in it, length, ids as bytes, length of the document.
+Piece = tuple[object, int, int, bytes, int]
 
 
-def binary_pieces(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, length) of the pieces of documents of the given sizes; the longest pieces come first in each."""
-    levels = capacity.bit_length() - 1
-    full = sizes // capacity
-    counts = np.stack([full] + [(sizes >> b) & 1 for b in reversed(range(levels))], axis=1)
-    lengths = np.array([capacity] + [1 << b for b in reversed(range(levels))])
-    document = np.repeat(np.arange(len(sizes)), counts.sum(axis=1))
-    length = np.repeat(np.tile(lengths, len(sizes)), counts.ravel())
-    ends = np.cumsum(length)
-    before = np.concatenate([[0], np.cumsum(sizes)])[document]
-    return document, ends - length - before, length
+def cut(piece: Piece, length: int) -> tuple[Piece, Piece | None]:
+    """The first `length` ids of a piece, and the rest if there is one."""
+    name, start, size, ids, whole = piece
+    if size <= length:
+        return piece, None
+    return (name, start, length, ids[:4 * length], whole), (name, start + length, size - length, ids[4 * length:], whole)
 
 
 class Bins:
-    """The open bins of one worker."""
+    """The open bins of one worker: by class those with fewer than k documents, and those that wait for a filled gap.
+
+    Waiting gaps are shorter than one and a half capacities together, so the documents held are bounded too.
+    """
 
     def __init__(self, worker: int, capacity: int):
         self.capacity, self.next, self.open = capacity, worker << 40, {}
-
-    def _take(self, n: int) -> int:
-        self.next += n
-        return self.next - n
-
-    def add(self, pieces: list[tuple], length: int) -> Iterator[tuple]:
-        """Pieces of one class; yields those whose bins are full as (piece, sequence, offset)."""
-        k = self.capacity // length
-        waiting = self.open.pop(length, []) + pieces
-        full = len(waiting) // k
-        if len(waiting) > full * k:
-            self.open[length] = waiting[full * k:]
-        at = self._take(full)
-        for i, piece in enumerate(waiting[:full * k]):
-            yield piece, at + i // k, i % k * length
+        self.waiting, self.gaps, self.tickets = [], 0, count()
+
+    def add(self, piece: Piece) -> Iterator[tuple]:
+        """Yields (piece, sequence, offset) of the bins that this piece makes full; its ids may be any buffer."""
+        name, start, length, ids, whole = piece
+        size = length % self.capacity
+        full = length - size
+        for at in range(0, full, self.capacity):
+            yield from self._placed([(name, start + at, self.capacity, bytes(ids[4 * at:4 * (at + self.capacity)]), whole)])
+        if not size:
+            return
+        piece = (name, start + full, size, bytes(ids[4 * full:]), whole)
+        if size <= self.gaps:
+            yield from self._fill(piece)
+            return
+        k = self.capacity // size
+        members = self.open.setdefault(k, [])
+        members.append(piece)
+        if len(members) == k:
+            yield from self._wait(self.open.pop(k), self.capacity - sum(m[2] for m in members))
+
+    def _placed(self, members: list[Piece]) -> Iterator[tuple]:
+        sequence, offset = self.next, 0
+        self.next += 1
+        for member in members:
+            yield member, sequence, offset
+            offset += member[2]
+
+    def _wait(self, members: list[Piece], gap: int) -> Iterator[tuple]:
+        if gap:
+            heappush(self.waiting, (-gap, next(self.tickets), members))
+            self.gaps += gap
+        else:
+            yield from self._placed(members)
+
+    def _fill(self, piece: Piece | None) -> Iterator[tuple]:
+        """Cuts a piece no longer than all gaps along them."""
+        while piece is not None:
+            gap, _, members = heappop(self.waiting)
+            self.gaps += gap
+            first, piece = cut(piece, -gap)
+            members.append(first)
+            yield from self._wait(members, -gap - first[2])
 
     def close(self) -> Iterator[tuple]:
-        """The open pieces of all classes: whole bins, then bins whose sizes are powers of two."""
-        left = [(piece, length) for length in sorted(self.open, reverse=True) for piece in self.open[length]]
-        rest, i = sum(length for _, length in left), 0
+        """The documents of open bins: waiting gaps, whole bins, then bins whose sizes are powers of two."""
+        loose = []
+        for piece in sorted((p for members in self.open.values() for p in members), key=lambda p: p[2]):
+            if piece[2] <= self.gaps:
+                yield from self._fill(piece)
+            else:
+                loose.append(piece)
+        loose += [p for *_, members in sorted(self.waiting, key=lambda w: w[:2]) for p in members]
+        rest = sum(p[2] for p in loose)
         while rest:
             size = min(self.capacity, 1 << (rest.bit_length() - 1))
-            sequence, offset = self._take(1), 0
-            while offset < size:
-                piece, length = left[i]
-                yield piece, sequence, offset
-                offset, i = offset + length, i + 1
+            members, room = [], size
+            while room:
+                first, after = cut(loose.pop(), room)
+                members.append(first)
+                room -= first[2]
+                if after is not None:
+                    loose.append(after)
+            yield from self._placed(members)
             rest -= size
 
 
@@ -98,16 +139,10 @@ def pack(
         whole = np.full(len(ids) + len(sizes), end_id, "<u4")
         own = gather(np.arange(len(whole)), np.cumsum(sizes + 1) - sizes - 1, sizes)
         whole[own] = ids
-        document, start, length = binary_pieces(sizes + 1, capacity)
-        ends = np.cumsum(length)
-        names, data = doc_ids.slice(at, len(sizes)).to_pylist(), memoryview(whole.tobytes())
-        for size in np.unique(length)[::-1].tolist():
-            of_class = np.flatnonzero(length == size)
-            pieces = [
-                (names[d], s, size, bytes(data[4 * (e - size):4 * e]), t)
-                for d, s, e, t in zip(document[of_class].tolist(), start[of_class].tolist(), ends[of_class].tolist(), (sizes + 1)[document[of_class]].tolist())
-            ]
-            yield from bins.add(pieces, size)
+        names, data, end = doc_ids.slice(at, len(sizes)).to_pylist(), memoryview(whole.tobytes()), 0
+        for name, size in zip(names, (sizes + 1).tolist()):
+            yield from bins.add((name, 0, size, data[4 * end:4 * (end + size)], size))
+            end += size
 
     def placed(found, id_type):
         found = [(*piece, sequence, offset) for piece, sequence, offset in found]

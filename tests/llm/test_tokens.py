@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from caseloom.llm import tokens
 from caseloom.llm.bpe import decode, encode
 from caseloom.llm.chat import conversation_digests, escape, format_windows, read_back, unescape
-from caseloom.llm.packing import pack
+from caseloom.llm.packing import Bins, pack
 
 RANKS, JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 TEXTS = [
@@ -109,6 +109,36 @@ def test_packing_repeated_rows_and_nothing(docs):
         pack(docs, JSON, PATTERN, capacity=1000)
 
 
+@pytest.mark.parametrize("sizes", ["even", "long", "equal", "ones", "just above half"])
+def test_documents_stay_whole_but_for_one_cut_a_sequence(sizes):
+    rng, capacity = np.random.default_rng(3), 1024
+    lengths = {
+        "even": rng.integers(1, 1025, 3000), "long": rng.integers(1, 9000, 500), "equal": np.full(2000, 343), "ones": np.ones(5000, int),
+        "just above half": np.where(rng.random(2000) < 0.5, 513, 1),
+    }[sizes].tolist()
+    bins, found, held = Bins(0, capacity), [], 0
+    for i, n in enumerate(lengths):
+        found += bins.add((i, 0, n, memoryview(np.full(n, i, "<u4").tobytes()), n))
+        held = max(held, sum(p[2] for members in bins.open.values() for p in members))
+        assert bins.gaps < 1.5 * capacity
+    assert held <= 62 * capacity  # the classes are the different values of 1024 // length
+    found += bins.close()
+    placed, own = {}, {}
+    for (i, start, n, ids, whole), sequence, offset in found:
+        assert (len(ids), whole) == (4 * n, lengths[i])
+        placed.setdefault(sequence, []).append((offset, n))
+        own.setdefault(i, []).append((start, n))
+    for pieces in list(placed.values()) + list(own.values()):
+        at = 0
+        for start, n in sorted(pieces):
+            assert start == at
+            at += n
+    assert [sum(n for _, n in own[i]) for i in range(len(lengths))] == lengths
+    totals = [sum(n for _, n in pieces) for pieces in placed.values()]
+    assert all(t == capacity or t & (t - 1) == 0 for t in totals)
+    assert len(found) <= len(lengths) + len(placed)
+
+
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 
 
