@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from caseloom.functions.columns import col, is_numeric
+from caseloom.operators.hot_keys import join_size, split_join
 
 # Name parts that mark a likely key column.
 KEY_HINTS = ("id", "number", "key", "code", "no")
@@ -59,19 +60,29 @@ def pick_join_column(left: DataFrame, right: DataFrame) -> str:
 
 
 def join_tables(
-    left: DataFrame, right: DataFrame, on: str | None = None, require_match: bool = False
+    left: DataFrame, right: DataFrame, on: str | None = None, require_match: bool = False, hot_rows: int | None = None,
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Inner join on one shared column; null keys match each other, other shared columns get _a/_b.
 
-    No side is broadcast by hint: sizes decide at run time, and a skewed key is split by AQE.
+    No side is broadcast by hint: sizes decide at run time, and a skewed key is split by AQE.  With `hot_rows`, keys of
+    more rows than that on a side (the missing key too) are found first and their pairs dealt to many tasks.  With
+    `max_rows`, a join of more rows is an error, raised from counts of keys before any row is joined.
     """
     shared = shared_columns(left, right)
     key = on if on in shared else pick_join_column(left, right)
     a, b = _aligned(left, right, [key])
+    if max_rows is not None:
+        size = join_size(a, b, key).first()
+        if size.pairs > max_rows:
+            raise ValueError(f"the join on {key!r} gives {size.pairs} rows, {size.null_pairs} of them by missing keys")
     overlap = set(shared) - {key}
     a = a.toDF(*[f"{c}_a" if c in overlap else c for c in a.columns])
     b = b.toDF(*["__key" if c == key else f"{c}_b" if c in overlap else c for c in b.columns])
-    joined = a.join(b, a[f"`{key}`"].eqNullSafe(b["__key"]), "inner").drop("__key")
+    if hot_rows is None:
+        joined = a.join(b, a[f"`{key}`"].eqNullSafe(b["__key"]), "inner").drop("__key")
+    else:
+        joined = split_join(a, b, key, "__key", hot_rows).drop("__key")
     if require_match and joined.isEmpty():
         raise ValueError(f"no row matches on {key!r}")
     return joined

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from caseloom.functions.columns import guess_roles, map_roles, missing_roles
 from caseloom.operators.browse import page_count, paginate, preview, search_rows
 from caseloom.operators.combine import join_tables, pick_join_column, stack_tables
+from caseloom.operators.hot_keys import join_size
 from caseloom.operators.profile import column_stats, dataset_summary
 from caseloom.session import checkpoint_folder
 from caseloom.sources.sinks import log_run, run_history, write_csv, write_stats_json
@@ -147,6 +148,36 @@ def joined(spark: SparkSession, sf: str) -> DataFrame:
     return join_tables(left, right, on="customer_id", require_match=True)
 
 
+#: Order lines of which a good half belong to one supplier and some to none, and suppliers of which some lack a key.
+HOT_LINES = """SELECT CASE WHEN l_linenumber <= 2 THEN 7 WHEN l_linenumber = 6 AND l_orderkey % 50 = 0 THEN NULL ELSE l_suppkey END AS supplier,
+    l_orderkey, l_quantity FROM lineitem"""
+SOME_SUPPLIERS = "SELECT CASE WHEN s_suppkey % 5 <> 3 THEN s_suppkey END AS supplier, s_suppkey, s_nationkey FROM supplier"
+
+
+def hot_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    lines, suppliers = read(spark, sf, "lineitem"), read(spark, sf, "supplier")
+    key = F.when(F.col("l_linenumber") <= 2, 7).when((F.col("l_linenumber") != 6) | (F.col("l_orderkey") % 50 != 0), F.col("l_suppkey"))
+    return lines.select(key.alias("supplier"), "l_orderkey", "l_quantity"), suppliers.select(
+        F.when(F.col("s_suppkey") % 5 != 3, F.col("s_suppkey")).alias("supplier"), "s_suppkey", "s_nationkey")
+
+
+@query("join_with_hot_key", f"""
+    SELECT b.s_suppkey, a.supplier, count(*) AS n_lines, count(DISTINCT a.l_orderkey) AS n_orders, round(sum(a.l_quantity), 4) AS quantity
+    FROM ({HOT_LINES}) a JOIN ({SOME_SUPPLIERS}) b ON a.supplier IS NOT DISTINCT FROM b.supplier GROUP BY 1, 2""")
+def hot_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the lines share a key and others have none: such keys are found by a sketch and dealt to cells."""
+    joined = join_tables(*hot_sides(spark, sf), on="supplier", hot_rows=1000)
+    return joined.groupBy("s_suppkey", "supplier").agg(
+        F.count("*").alias("n_lines"), F.countDistinct("l_orderkey").alias("n_orders"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
+
+
+@query("join_size", f"""
+    SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(count(*) FILTER (a.supplier IS NULL) AS BIGINT) AS null_pairs
+    FROM ({HOT_LINES}) a JOIN ({SOME_SUPPLIERS}) b ON a.supplier IS NOT DISTINCT FROM b.supplier""")
+def size_of_join(spark: SparkSession, sf: str) -> DataFrame:
+    return join_size(*hot_sides(spark, sf), "supplier").select(F.col("pairs").cast("bigint"), F.col("null_pairs").cast("bigint"))
+
+
 @query("join_key_choice", """
     SELECT CASE WHEN (SELECT count(DISTINCT o_orderkey) FROM orders) >= (SELECT count(DISTINCT o_custkey) FROM orders)
       THEN 'o_orderkey' ELSE 'o_custkey' END AS join_column""")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,7 +14,9 @@ from caseloom.operators.dashboard import (
     monthly_volume, recent_cases, sla_summary, status_share, weekday_priorities, weekday_volume,
 )
 from caseloom.operators.browse import paginate
+from caseloom.operators.stored_rollup import append_cases, rollup_at
 from caseloom.operators.tickets import parse_dates
+from caseloom.session import checkpoint_folder
 from registry.base import query, read, tickets
 
 STATUS = """CASE WHEN regexp_matches(s, 'closed|resolved|completed|finished') THEN 'Closed' WHEN contains(s, 'escalat') THEN 'Escalated'
@@ -41,6 +45,10 @@ FULL_DETAIL = DETAIL.format(
 )
 DAYS = "(VALUES (0, 'Mon'), (1, 'Tue'), (2, 'Wed'), (3, 'Thu'), (4, 'Fri'), (5, 'Sat'), (6, 'Sun')) d(i, day)"
 
+#: Reference dates of the stored rollup: a time of day, a midnight and one after all cases.
+REFERENCES = ("1995-06-17 05:00:00", "1997-01-01 00:00:00", "2030-01-01 12:30:00")
+SEEN_FROM = "(VALUES " + ", ".join(f"(TIMESTAMP '{at}')" for at in REFERENCES) + ") t(ref)"
+
 
 def rollup(spark: SparkSession, sf: str) -> DataFrame:
     return daily_rollup(bucketed_cases(tickets(spark, sf)))
@@ -61,15 +69,55 @@ def rollup_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rollup(spark, sf).withColumn("hours", F.round("hours", 4))
 
 
-@query("sla_summary", CASES + """
+SUMMARY = CASES + """
     SELECT count(*) FILTER (sb <> 'Closed') AS open_cases, count(*) FILTER (overdue) AS overdue_cases,
       coalesce(round_even(avg(hours) FILTER (sb = 'Closed'), 1), 0.0) AS avg_resolution_hours,
       round_even(100.0::DOUBLE * (1.0::DOUBLE - count(*) FILTER (overdue)::DOUBLE / count(*)), 1) AS sla_compliance_pct,
-      0 AS open_cases_trend, 0 AS overdue_cases_trend, 0.0::DOUBLE AS avg_resolution_trend, 0 AS sla_compliance_trend FROM b""")
+      0 AS open_cases_trend, 0 AS overdue_cases_trend, 0.0::DOUBLE AS avg_resolution_trend, 0 AS sla_compliance_trend FROM b"""
+
+
+@query("sla_summary", SUMMARY)
 def summary(spark: SparkSession, sf: str) -> DataFrame:
     return sla_summary(rollup(spark, sf))
 
 
+def stored_cases(spark: SparkSession, sf: str) -> str:
+    """All cases, appended to a new store in three parts."""
+    path, cases = f"{checkpoint_folder(spark)}/rollup-{uuid4().hex}", tickets(spark, sf)
+    for part in range(3):
+        append_cases(cases.where(F.pmod(F.col("case number"), F.lit(3)) == part), path, f"part-{part}")
+    return path
+
+
+@query("stored_sla_summary", SUMMARY)
+def stored_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary from a stored rollup to which the cases were appended in three parts."""
+    return sla_summary(rollup_at(spark, stored_cases(spark, sf)))
+
+
+@query("stored_weekday_volume", CASES + f"""
+    SELECT CAST(t.ref AS VARCHAR) AS seen_from, day, count(date_open) FILTER (date_open >= t.ref - INTERVAL 7 DAY) AS this_week,
+      count(date_open) FILTER (date_open >= t.ref - INTERVAL 14 DAY AND date_open < t.ref - INTERVAL 7 DAY) AS last_week
+    FROM {DAYS} CROSS JOIN {SEEN_FROM} LEFT JOIN (SELECT date_open FROM b) b ON strftime(date_open, '%a') = day GROUP BY ALL""")
+def stored_weekdays(spark: SparkSession, sf: str) -> DataFrame:
+    path = stored_cases(spark, sf)
+    return reduce(DataFrame.unionByName, [
+        weekday_volume(rollup_at(spark, path, datetime.fromisoformat(at))).withColumn("seen_from", F.lit(at)) for at in REFERENCES])
+
+
+@query("stored_summary_by_date", CASES + f"""
+    SELECT CAST(t.ref AS VARCHAR) AS seen_from, count(*) FILTER (sb <> 'Closed') AS open_cases,
+      count(*) FILTER (sb <> 'Closed' AND solution_target < t.ref) AS overdue_cases,
+      round_even(100.0::DOUBLE * (1.0::DOUBLE - count(*) FILTER (sb <> 'Closed' AND solution_target < t.ref)::DOUBLE / count(*)), 1) AS sla_compliance_pct
+    FROM b CROSS JOIN {SEEN_FROM} GROUP BY 1""")
+def stored_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """The figures for three reference dates from one stored table; the cases are read once."""
+    path = stored_cases(spark, sf)
+    return reduce(DataFrame.unionByName, [
+        sla_summary(rollup_at(spark, path, datetime.fromisoformat(at))).select(
+            F.lit(at).alias("seen_from"), "open_cases", "overdue_cases", "sla_compliance_pct") for at in REFERENCES])
+
+
 @query("case_distribution", CASES + """
     SELECT 'Overdue' AS name, count(*) FILTER (overdue) AS value FROM b
     UNION ALL SELECT 'Pending', count(*) FILTER (sb = 'Pending') FROM b
