@@ -3,6 +3,7 @@
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from caseloom.operators.splits import assign_folds
 from caseloom.plans import training as runs
 from caseloom.plans.models import FIT, RAW, default_models, fit_pipeline
 from caseloom.plans.training import mark_fit_rows, train
@@ -65,3 +66,10 @@ def test_a_class_run_marks_rows_by_their_key(spark, monkeypatch):
     assert seen["rows"] == 1200 and seen["marked"] == 300
     assert 0.5 < (seen["marked_copies"] / seen["marked"]) / (seen["copies"] / seen["rows"]) < 1.6
     assert run.results.first()["accuracy"] > 0.8
+
+
+def test_rows_to_fit_lie_in_all_folds_drawn_by_the_same_key(spark):
+    rows = spark.range(6000).select(F.xxhash64("id").alias(runs.ROW), (F.col("id") % 3 == 0).cast("double").alias("label"))
+    folded = assign_folds(rows, 5, stratify="label", seed=runs.FOLD_SEED, key=runs.ROW, out=runs.FOLD)
+    taken = mark_fit_rows(folded, 600, runs.ROW, ["label", runs.FOLD]).where(FIT).groupBy(runs.FOLD, "label").count().collect()
+    assert len(taken) == 10 and all(20 <= r["count"] <= 120 for r in taken)
