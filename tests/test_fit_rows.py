@@ -1,5 +1,7 @@
 """The bound on fitted rows: which rows it takes, and what it leaves whole."""
 
+from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -73,3 +75,23 @@ def test_rows_to_fit_lie_in_all_folds_drawn_by_the_same_key(spark):
     folded = assign_folds(rows, 5, stratify="label", seed=runs.FOLD_SEED, key=runs.ROW, out=runs.FOLD)
     taken = mark_fit_rows(folded, 600, runs.ROW, ["label", runs.FOLD]).where(FIT).groupBy(runs.FOLD, "label").count().collect()
     assert len(taken) == 10 and all(20 <= r["count"] <= 120 for r in taken)
+
+
+def test_rows_to_fit_are_found_by_all_tasks(spark):
+    """The mark tells the task that made it: one task for the whole table would mark nothing."""
+    later = F.udf(lambda: TaskContext.get().partitionId() > 0, "boolean").asNondeterministic()
+    rows = spark.range(200, numPartitions=4).select(
+        (F.col("id") % 2).cast("double").alias("label"), array_to_vector(F.array(F.col("id").cast("double"))).alias(RAW), F.lit(1.0).alias("weight"), later().alias(FIT))
+    model = fit_pipeline(rows, default_models("classification", 150, 2)["Logistic Regression"], "standard")
+    assert model.stages[0].mean[0] == 99.5 and len(model.stages) == 2
+
+
+def test_marking_leaves_the_rows_of_a_class_in_their_tasks(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(0, 8000, 1, 8).select(F.col("id").alias("key"), (F.col("id") % 2).alias("label"))
+        largest = mark_fit_rows(rows, 600, "key", ["label"]).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert largest == 1000
