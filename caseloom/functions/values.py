@@ -51,9 +51,17 @@ def parse_number(value: Column) -> Column:
     return F.when(value.rlike(NUMBER_PATTERN), F.trim(value).try_cast("double"))
 
 
-# Written dates read beside ISO ones; {d} stands for the numeric day and month in the wanted order.
-DATE_FORMATS = ("yyyy/M/d", "{d}/yyyy", "{d}/yy", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMM d yyyy", "d.M.yyyy", "yyyyMMdd")
-TIME_FORMATS = ("", " H:mm", " H:mm:ss", " h:mm a", " h:mm:ss a")
+# Written dates read beside ISO ones; {d} stands for the numeric day and month in the wanted order.  Beside each format is
+# a pattern that every text of that format matches, so that others are not tried: a failed parse costs far more.
+DATE_FORMATS = {
+    "yyyy/M/d": r"^[+-]?\d{4,}/", "{d}/yyyy": r"^[+-]?\d+/[+-]?\d+/[+-]?\d{4}", "{d}/yy": r"^[+-]?\d+/[+-]?\d+/\d\d(\D|$)",
+    "d-MMM-yyyy": r"^[+-]?\d+-\D", "d MMM yyyy": r"^[+-]?\d+ \D", "MMM d, yyyy": r"^\D[^,]*, ", "MMM d yyyy": r"^\D[^ ]* [+-]?\d+ ",
+    "d.M.yyyy": r"^[+-]?\d+\.", "yyyyMMdd": r"^[+-]?\d{8}",
+}
+TIME_FORMATS = {
+    "": r"^[^:]*$", " H:mm": r"^[^:]*:[^:]*\d$", " H:mm:ss": r"^[^:]*:[^:]*:[^:]*\d$", " h:mm a": r"^[^:]*:[^:]*\D$",
+    " h:mm:ss a": r"^[^:]*:[^:]*:[^:]*\D$",
+}
 OFFSET_PATTERN = r"([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?) ?(Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -71,8 +79,14 @@ def parse_timestamp(value: Column, day_first: bool = False) -> Column:
         * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.right(offset, F.lit(2)).try_cast("int")))
     local = F.when(iso.rlike(ISO_PATTERN), F.regexp_replace(iso, OFFSET_PATTERN, "$1").try_cast("timestamp_ntz"))
     shape = "d/M" if day_first else "M/d"
-    forms = [f.format(d=shape) + t for f in DATE_FORMATS for t in TIME_FORMATS]
-    written = F.coalesce(*[F.try_to_timestamp(F.initcap(text) if "MMM" in f else F.upper(text), F.lit(f)) for f in forms])
+
+    def read(form: str) -> Column:
+        return F.try_to_timestamp(F.initcap(text) if "MMM" in form else F.upper(text), F.lit(form))
+
+    def timed(date: str) -> Column:
+        return F.coalesce(*[F.when(text.rlike(p), read(date.format(d=shape) + t)) for t, p in TIME_FORMATS.items()])
+
+    written = F.coalesce(*[F.when(text.rlike(p), timed(date)) for date, p in DATE_FORMATS.items()])
     return F.coalesce(F.timestamp_add("MINUTE", -minutes, local), F.when(local.isNull(), written.cast("timestamp_ntz")))
 
 

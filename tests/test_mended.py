@@ -1,5 +1,7 @@
 """Robust scaling keeps flags, large dictionaries, splits of repeats, broken CSV lines, copies released."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
@@ -7,6 +9,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from caseloom.functions import values
 from caseloom.operators.compare import scatter_sample
 from caseloom.operators.encoding import encode_target, one_hot_index
 from caseloom.operators.profile import column_detail, column_info
@@ -99,3 +102,17 @@ def test_copies_are_released(spark):
     release_copies(spark)
     copy = cut_lineage(spark.range(3))
     assert copy.count() == 3 and release_copies(spark) == 1 and release_copies(spark) == 0
+
+
+def test_a_written_date_is_tried_in_few_formats():
+    """Of the 45 formats at most two are tried on a text, its own among them."""
+    from datetime import datetime
+
+    forms = {"yyyy/M/d": "%Y/%m/%d", "{d}/yyyy": "%m/%d/%Y", "{d}/yy": "%m/%d/%y", "d-MMM-yyyy": "%d-%b-%Y", "d MMM yyyy": "%d %b %Y", "MMM d, yyyy": "%b %d, %Y",
+             "MMM d yyyy": "%b %d %Y", "d.M.yyyy": "%d.%m.%Y", "yyyyMMdd": "%Y%m%d"}
+    times = {"": "", " H:mm": " %H:%M", " H:mm:ss": " %H:%M:%S", " h:mm a": " %I:%M %p", " h:mm:ss a": " %I:%M:%S %p"}
+    for date, d in forms.items():
+        for time, t in times.items():
+            text = datetime(2021, 3, 4, 17, 8, 9).strftime(d + t)
+            tried = [(f, g) for f, p in values.DATE_FORMATS.items() if re.search(p, text) for g, q in values.TIME_FORMATS.items() if re.search(q, text)]
+            assert (date, time) in tried and len(tried) <= 2
