@@ -13,6 +13,8 @@ from caseloom.session import cut_lineage
 
 SEVERE_PCT = 10
 MILD_PCT = 30
+#: Labels of a target that may come to the driver unasked.
+LOCAL_LABELS = 10_000
 
 
 def categories(
@@ -102,10 +104,21 @@ def label_codes(df: DataFrame, target: str) -> DataFrame:
     return df.sparkSession.createDataFrame(list(zip(found, range(len(found)))), "label string, code int")
 
 
-def encode_target(df: DataFrame, target: str, labels: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Text target replaced by its code (double); returns the labels in code order."""
+def encode_target(
+    df: DataFrame, target: str, labels: Sequence[str] | None = None, small: int = LOCAL_LABELS
+) -> tuple[DataFrame, list[str] | DataFrame]:
+    """Text target replaced by its code (double); returns the labels in code order.
+
+    With more than `small` labels none reaches the driver: the codes are joined, and the labels are a table `value, index`.
+    """
     if labels is None:
-        labels = label_list(df, target)
+        distinct = df.where(col(target).isNotNull()).select(col(target).cast("string").alias("label")).distinct()
+        found = [r["label"] for r in distinct.limit(small + 1).collect()]
+        if len(found) > small:
+            joined, table = one_hot_index(df.withColumn("__label", col(target)), "__label")
+            code = F.col("__label_index").cast("double")
+            return joined.select(*[code.alias(c) if c == target else col(c) for c in df.columns]), table
+        labels = sorted(found)
     coded = indexed(df, target, labels, "__code")
     code = F.col("__code").cast("double")
     return coded.select(*[code.alias(c) if c == target else col(c) for c in df.columns]), list(labels)

@@ -116,3 +116,12 @@ def test_a_written_date_is_tried_in_few_formats():
             text = datetime(2021, 3, 4, 17, 8, 9).strftime(d + t)
             tried = [(f, g) for f, p in values.DATE_FORMATS.items() if re.search(p, text) for g, q in values.TIME_FORMATS.items() if re.search(q, text)]
             assert (date, time) in tried and len(tried) <= 2
+
+
+def test_many_labels_stay_off_the_driver(spark):
+    texts = [None, "b", "a", "ü", "b", "Z", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    coded, table = encode_target(df, "t", small=3)
+    whole, labels = encode_target(df, "t")
+    assert coded.columns == df.columns and sorted(coded.collect()) == sorted(whole.collect())
+    assert [r["value"] for r in table.orderBy("index").collect()] == labels and not isinstance(table, list)
