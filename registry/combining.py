@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from caseloom.functions.columns import guess_roles, map_roles, missing_roles
 from caseloom.operators.browse import page_count, paginate, preview, search_rows
 from caseloom.operators.combine import join_tables, pick_join_column, stack_tables
 from caseloom.operators.hot_keys import join_size
 from caseloom.operators.profile import column_stats, dataset_summary
-from caseloom.session import checkpoint_folder
+from caseloom.session import checkpoint_folder, cut_lineage
 from caseloom.sources.sinks import log_run, run_history, write_csv, write_stats_json
 from caseloom.sources.tables import load_table
 from registry.base import LINE_NUMBERS, one_row, query, read, union_all, view
@@ -165,10 +165,23 @@ def hot_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     SELECT b.s_suppkey, a.supplier, count(*) AS n_lines, count(DISTINCT a.l_orderkey) AS n_orders, round(sum(a.l_quantity), 4) AS quantity
     FROM ({HOT_LINES}) a JOIN ({SOME_SUPPLIERS}) b ON a.supplier IS NOT DISTINCT FROM b.supplier GROUP BY 1, 2""")
 def hot_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Half of the lines share a key and others have none: such keys are found by a sketch and dealt to cells."""
-    joined = join_tables(*hot_sides(spark, sf), on="supplier", hot_rows=1000)
+    """Half of the lines share a key and others have none: such keys are found by a sketch and dealt to cells.
+
+    The pairs of missing keys grow with the square of the tables, so they are counted where they meet: one line of each
+    key and order, and one row of each supplier, are marked before the join, and orders are the pairs of marked rows.
+    """
+    lines, suppliers = hot_sides(spark, sf)
+    lines = _first_marked(lines, ["supplier", "l_orderkey"], "first_line")
+    suppliers = _first_marked(suppliers, ["supplier", "s_suppkey"], "first_row")
+    joined = join_tables(lines, suppliers, on="supplier", hot_rows=1000)
     return joined.groupBy("s_suppkey", "supplier").agg(
-        F.count("*").alias("n_lines"), F.countDistinct("l_orderkey").alias("n_orders"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
+        F.count("*").alias("n_lines"), F.count_if(F.col("first_line") & F.col("first_row") & F.col("l_orderkey").isNotNull()).alias("n_orders"),
+        F.round(F.sum("l_quantity"), 4).alias("quantity"))
+
+
+def _first_marked(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """`rows` with a flag that is true for one row of each key, written so that later passes see the same one."""
+    return cut_lineage(rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) == 1))
 
 
 @query("join_size", f"""
