@@ -132,3 +132,35 @@ def test_insensitive_regression_ignores_outliers(spark):
     df = spark.createDataFrame([(float(b), Vectors.dense([float(a)])) for a, b in zip(x, y)], ["label", "features"])
     model = InsensitiveRegression().fit(df)
     assert model.coefficients[0] == pytest.approx(3, abs=0.15) and model.intercept == pytest.approx(0, abs=0.15)
+
+
+def test_a_round_of_insensitive_regression_is_one_pass(spark):
+    """And equals reweighted least squares on stored Fourier features."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from caseloom.plans.kernels import FourierFeatures, InsensitiveRegression
+
+    made = np.random.default_rng(2)
+    x = made.uniform(-1, 1, (3000, 2))
+    y = np.sin(3 * x[:, 0]) + x[:, 1] + made.normal(size=3000) * 0.3
+    df = spark.createDataFrame([(float(b), Vectors.dense(a)) for a, b in zip(x, y)], ["label", "inputs"]).repartition(3)
+    mapped = FourierFeatures(inputCol="inputs", outputCol="features", size=16).transform(df)
+    spark.sparkContext.setJobGroup("rounds", "rounds of a fit")
+    model = InsensitiveRegression(rounds=6, tolerance=0.0).fit(mapped)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) <= 10
+    features = np.array([r.features.toArray() for r in mapped.select("features").collect()])
+    label = np.array([r.label for r in mapped.select("label").collect()])
+    weight, goal = np.ones(len(label)), label
+    for _ in range(7):
+        means, centre = np.average(features, axis=0, weights=weight), np.average(goal, weights=weight)
+        centred = features - means
+        solution = np.linalg.solve((centred * weight[:, None]).T @ centred + np.eye(16), (centred * weight[:, None]).T @ (goal - centre))
+        intercept = centre - means @ solution
+        now = features @ solution + intercept
+        outside = np.abs(label - now) - 0.1
+        weight = np.where(outside > 0, 1 / np.maximum(outside, 1e-3), 1e-6)
+        goal = np.where(outside > 0, label - 0.1 * np.sign(label - now), now)
+    assert model.coefficients.toArray() == pytest.approx(solution, rel=1e-6) and model.intercept == pytest.approx(intercept, rel=1e-6)
+    assert [r.prediction for r in model.transform(mapped).select("prediction").collect()] == pytest.approx(now, rel=1e-6)
