@@ -150,8 +150,8 @@ def test_a_round_of_insensitive_regression_is_one_pass(spark):
     model = InsensitiveRegression(rounds=6, tolerance=0.0).fit(mapped)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) <= 10
-    features = np.array([r.features.toArray() for r in mapped.select("features").collect()])
-    label = np.array([r.label for r in mapped.select("label").collect()])
+    rows = model.transform(mapped).select("features", "label", "prediction").collect()
+    features, label = np.array([r.features.toArray() for r in rows]), np.array([r.label for r in rows])
     weight, goal = np.ones(len(label)), label
     for _ in range(7):
         means, centre = np.average(features, axis=0, weights=weight), np.average(goal, weights=weight)
@@ -163,4 +163,4 @@ def test_a_round_of_insensitive_regression_is_one_pass(spark):
         weight = np.where(outside > 0, 1 / np.maximum(outside, 1e-3), 1e-6)
         goal = np.where(outside > 0, label - 0.1 * np.sign(label - now), now)
     assert model.coefficients.toArray() == pytest.approx(solution, rel=1e-6) and model.intercept == pytest.approx(intercept, rel=1e-6)
-    assert [r.prediction for r in model.transform(mapped).select("prediction").collect()] == pytest.approx(now, rel=1e-6)
+    assert [r.prediction for r in rows] == pytest.approx(now, rel=1e-6)
