@@ -3,7 +3,8 @@
 Vectors are laid on a sphere by one more coordinate, so that the largest inner product is the smallest distance.  Each
 of many random projections is a sorted array.  A query opens a window around its own projection in every array and
 widens all of them by a constant factor (virtual rehashing) until enough vectors lie in the window of most arrays;
-those vectors are verified by their exact inner product.
+those vectors are verified by their exact inner product.  As the widening of one query is a good guess for the next one,
+few widenings are counted for each.
 """
 
 from __future__ import annotations
@@ -112,25 +113,33 @@ def collision_search(
         values = np.take_along_axis(project, order, axis=1)
         need, enough = int(np.ceil(threshold * arrays)), min(n, max(least, k + 1 + int(verified * n)))
 
-        def edges(of: np.ndarray, reach: float, side: str) -> np.ndarray:
-            return np.stack([np.searchsorted(values[j], centres[of, j] + reach, side) for j in range(arrays)], axis=1)
-
-        active, reach = np.arange(len(asked)), width
-        low = high = edges(active, 0.0, "left")
-        counts, done = np.zeros((len(asked), n), np.int16), {}
-        while len(active):
-            wider_low, wider_high = edges(active, -reach, "left"), edges(active, reach, "right")
-            stay = np.ones(len(active), bool)
-            for i, query in enumerate(active.tolist()):
-                new = [order[j, a:b] for j in range(arrays) for a, b in ((wider_low[i, j], low[i, j]), (high[i, j], wider_high[i, j])) if b > a]
-                if new:
-                    counts[query] += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
-                hit = np.flatnonzero(counts[query] >= need)
-                if len(hit) >= enough:
-                    done[query], stay[i] = hit, False
-            active, low, high, reach = active[stay], wider_low[stay], wider_high[stay], reach * growth
+        # A row collides where its place lies in the window: one comparison, as places below the window wrap around.
+        kind = np.uint16 if n < 1 << 16 else np.uint32
+        places = np.empty((arrays, n), kind)
+        np.put_along_axis(places, order, np.arange(n, dtype=kind)[None, :], axis=1)
+        moved, inside, windows = np.empty((arrays, n), kind), np.empty((arrays, n), bool), []
+
+        def colliding(query: int, step: int) -> np.ndarray:
+            while len(windows) <= step:
+                reach = windows[-1][0] * growth if windows else width
+                low, high = (
+                    np.stack([np.searchsorted(values[j], centres[:, j] + by, side) for j in range(arrays)], axis=1)
+                    for by, side in ((-reach, "left"), (reach, "right")))
+                windows.append((reach, low.astype(kind)[:, :, None], (high - low).astype(kind)[:, :, None]))
+            _, low, size = windows[step]
+            np.subtract(places, low[query], out=moved)
+            np.less(moved, size[query], out=inside)
+            return np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if arrays < 256 else np.int64) >= need)
+
+        step = 0
         for i, own in enumerate(query_ids.tolist()):
-            at = done[i]
+            # The first step with enough, sought from that of the query before.
+            at = colliding(i, step)
+            while len(at) >= enough and step and len(less := colliding(i, step - 1)) >= enough:
+                at, step = less, step - 1
+            while len(at) < enough:
+                step += 1
+                at = colliding(i, step)
             yield best_of(ids, at, (data[at] * asked[i]).sum(axis=1), own, k)
 
     return search

@@ -88,3 +88,25 @@ def test_nearest_of_nothing(spark):
     assert nearest(table(spark, np.zeros((0, 8)), ODD), F.col("vec_id") % 20 == 0).count() == 0
     alone = table(spark, np.zeros((0, 8)), [(20, [1.0] * 8), (20, [2.0] * 8)])
     assert nearest(alone, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_few_widenings_are_counted_for_a_query(monkeypatch):
+    """The rows verified are those of the first widening with enough collisions, as if all were tried from the narrowest on."""
+    data, k, least, verified = rows(1200, dims=16, seed=7).astype(np.float64), 5, 60, 0.1
+    asked = np.arange(0, 1200, 20)
+    calls, plain = [], np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda x: calls.append(1) or plain(x))
+    found = list(module.collision_search(k, least=least, verified=verified)(np.arange(1200), data, None, asked, data[asked], None))
+    assert len(calls) <= 3 * len(asked)
+    norms = np.sqrt((data ** 2).sum(axis=1))
+    radius = norms.max()
+    sphere = np.concatenate([data, np.sqrt(np.maximum(radius ** 2 - norms ** 2, 0))[:, None]], axis=1) / radius
+    lines = np.random.default_rng(11).normal(size=(17, 64))
+    project, enough = sphere @ lines, k + 1 + int(verified * 1200)
+    for q, (at, scores) in zip(asked.tolist(), found):
+        centre, reach = np.append(data[q] / norms[q], 0) @ lines, 0.1
+        while (hit := plain(((project >= centre - reach) & (project <= centre + reach)).sum(axis=1) >= 48)).size < enough:
+            reach *= 1.5
+        exact = (data * data[q]).sum(axis=1)
+        expected = sorted((i for i in hit.tolist() if i != q), key=lambda i: (-exact[i], i))[:k]
+        assert at.tolist() == expected and scores.tolist() == [exact[i] for i in expected]
