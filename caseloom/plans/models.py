@@ -21,6 +21,7 @@ from pyspark.util import inheritable_thread_target
 from caseloom.operators.metrics import classification_metrics
 from caseloom.plans.boosting import SoftmaxBoosting
 from caseloom.plans.kernels import FourierKernel, InsensitiveRegression, PenaltyByRows
+from caseloom.plans.summed_trees import SummedTrees
 
 RAW, SCALED = "raw_features", "features"
 #: Marks the rows that models are fitted on, where their number is bounded.
@@ -111,7 +112,7 @@ def regressors(effort: float = 1.0) -> dict[str, list]:
             RandomForestRegressor(numTrees=trees, maxDepth=5, featureSubsetStrategy="all", seed=SEED)
         ],
         "Gradient Boosting (Tuned)": [
-            GBTRegressor(maxIter=boosts, stepSize=0.05, maxDepth=3, subsamplingRate=0.8, seed=SEED)
+            SummedTrees(GBTRegressor(maxIter=boosts, stepSize=0.05, maxDepth=3, subsamplingRate=0.8, seed=SEED))
         ],
     }
 

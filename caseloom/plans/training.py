@@ -74,6 +74,8 @@ def feature_importance(spark: SparkSession, model: PipelineModel, names: list[st
     """`feature, importance`, highest first: tree importances or absolute coefficients (mean over
     classes).  Empty for a kernel machine, whose inputs are not the named features."""
     last = model.stages[-1]
+    if isinstance(last, PipelineModel):  # trees behind the bins of the same features
+        last = last.stages[-1]
     values: list[float] = []
     if len(model.stages) == 2:
         parts = last.models if isinstance(last, OneVsRestModel) else [last]
