@@ -109,7 +109,7 @@ def regressors(effort: float = 1.0) -> dict[str, list]:
             InsensitiveRegression(featuresCol="kernel_features", c=1.0, epsilon=0.1),
         ],
         "Random Forest (Tuned)": [
-            RandomForestRegressor(numTrees=trees, maxDepth=5, featureSubsetStrategy="all", seed=SEED)
+            SummedTrees(RandomForestRegressor(numTrees=trees, maxDepth=5, featureSubsetStrategy="all", seed=SEED))
         ],
         "Gradient Boosting (Tuned)": [
             SummedTrees(GBTRegressor(maxIter=boosts, stepSize=0.05, maxDepth=3, subsamplingRate=0.8, seed=SEED))

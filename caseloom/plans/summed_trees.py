@@ -122,7 +122,9 @@ class SummedTrees(Estimator):
         model = (self._forest if forest else self._boosting)(table, trees, len(sizes))
         table.unpersist()
         binned = Binned(inputCol=made.getFeaturesCol(), outputCol=BINNED, points=json.dumps(points))
-        return PipelineModel(stages=[binned, made._copyValues(model).setFeaturesCol(BINNED)])
+        model = made._copyValues(model).setFeaturesCol(BINNED)
+        model._transfer_params_to_java()
+        return PipelineModel(stages=[binned, model])
 
     def _summable(self) -> bool:
         made = self.estimator
@@ -202,6 +204,10 @@ def drawn_sums(coded: DataFrame, trees: int, rate: float, again: bool, seed: int
     Each row is drawn for itself: with probability `rate`, or, if it may be drawn `again`, as often as Poisson's law of
     that mean tells.  Tasks add up their rows, and `parts` tasks add up what these give.
     """
+    # The shares of rows that are drawn at most 0, 1, 2, ... times, as far as single precision tells them from all.
+    law = np.cumsum([math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(64)])
+    upto = law[law < 1 - 2**-24].astype(np.float32) if again else np.array([1 - rate], np.float32)
+
     # Nested, so that workers need no copy of this package.
     def gathered(chunks):
         """Sums of chunks that are ordered by their cells."""
@@ -232,8 +238,11 @@ def drawn_sums(coded: DataFrame, trees: int, rate: float, again: bool, seed: int
             for batch in batches:
                 labels = batch.column(1).to_numpy(zero_copy_only=False)
                 for cells, rows in ordered(batch):
-                    values, shape = np.empty((len(rows), 2 * trees)), (len(rows), trees)
-                    values[:, :trees] = drawn.poisson(rate, shape) if again else drawn.random(shape, np.float32) < rate
+                    values, times = np.empty((len(rows), 2 * trees)), np.zeros((len(rows), trees), np.uint8)
+                    place = drawn.random(times.shape, np.float32)
+                    for share in upto:
+                        times += place >= share
+                    values[:, :trees] = times
                     np.multiply(values[:, :trees], labels[rows, None], out=values[:, trees:])
                     yield cells, values
 

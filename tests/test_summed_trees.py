@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from caseloom.plans.models import regressors
@@ -65,6 +65,32 @@ def test_rows_are_drawn_for_themselves(spark):
             assert (abs(total - taken * (2 / 3 if cell == 0 else 0.0)) < 600).all()
 
 
+def test_times_that_a_row_is_drawn_follow_the_law(spark):
+    """Each row is a cell: its counts are those of Poisson's law."""
+    rows = spark.range(4000, numPartitions=2).select(F.col("id").alias("cell"), F.lit(1.0).alias("label"))
+    times = np.array([r["sums"][:50] for r in drawn_sums(rows, 50, 1.0, True, 3, 2).collect()])
+    shares = [(times == k).mean() for k in range(5)]
+    assert shares == pytest.approx([np.exp(-1) / f for f in (1, 1, 2, 6, 24)], abs=0.004) and times.max() >= 6
+
+
+def test_a_forest_on_cells_is_as_good_as_on_rows(spark):
+    rows, test = few_cells(spark), few_cells(spark, 2000, seed=4)
+    forest = RandomForestRegressor(numTrees=30, maxDepth=5, featureSubsetStrategy="all", seed=1)
+    model, plain = SummedTrees(forest).fit(rows), forest.fit(rows)
+    assert isinstance(model.stages[-1], RandomForestRegressionModel) and model.stages[-1].getNumTrees == 30
+    errors = [np.mean((predictions(m, test) - [r.label for r in test.select("label").collect()]) ** 2) for m in (model, plain)]
+    assert errors[0] < errors[1] * 1.05
+    assert model.stages[-1].featureImportances.toArray() == pytest.approx(plain.featureImportances.toArray(), abs=0.01)
+
+
+def test_trees_of_a_forest_do_not_read_the_rows(spark):
+    """The rows, in 40 partitions here, are read for the split points, the number of cells and their sums."""
+    rows = few_cells(spark, parts=40)
+    rows.count()
+    _, tasks = tasks_of(spark, "forest", lambda: regressors(effort=0.08)["Random Forest (Tuned)"][0].fit(rows))
+    assert tasks < 400
+
+
 def test_boosting_is_saved_and_loaded(spark, tmp_path):
     rows = few_cells(spark)
     model = PipelineModel(stages=[SummedTrees(GBTRegressor(maxIter=3, subsamplingRate=0.8, seed=2)).fit(rows)])
