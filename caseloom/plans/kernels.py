@@ -1,4 +1,4 @@
-"""Support vector models on Spark: random Fourier features, and epsilon-insensitive regression.
+"""Support vector models on Spark: random Fourier features, epsilon-insensitive regression and the hinge loss of two classes.
 
 The exact kernel solvers need all pairs of rows.  Here the radial kernel is approximated by random
 Fourier features (Rahimi and Recht, 2007), after which linear models do the work in one pass per
@@ -13,19 +13,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Transformer
+from pyspark.ml.classification import LinearSVCModel
 from pyspark.ml.common import _py2java
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import (
-    HasFeaturesCol, HasInputCol, HasLabelCol, HasOutputCol, HasPredictionCol, Param, Params, TypeConverters,
+    HasFeaturesCol, HasInputCol, HasLabelCol, HasMaxIter, HasOutputCol, HasPredictionCol, HasRegParam, HasWeightCol, Param, Params, TypeConverters,
 )
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Tasks whose sums are added by the driver; more are added by so many tasks first.
 PARTS = 64
+#: Widths around a margin of 1 over which the hinge loss is rounded off, one after the other, and the steps that a round tries.
+WIDTHS, STEPS = (2.0, 0.5, 0.125, 0.03125), tuple(2.0**-i for i in range(12))
 
 
 class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -136,12 +139,7 @@ class InsensitiveRegression(
 
     def _fit(self, dataset: DataFrame) -> LinearRegressionModel:
         c, rounds = self.getOrDefault(self.c), self.getOrDefault(self.rounds)
-        made = dataset.schema[self.getFeaturesCol()].metadata.get("fourier")
-        if made is not None and made["source"] in dataset.columns:
-            inputs, expand = made["source"], _expansion(made["gamma"], made["size"], made["seed"])
-        else:
-            inputs, expand = self.getFeaturesCol(), None
-        data = dataset.select(vector_to_array(F.col(inputs)).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
+        data, expand = _inputs(dataset, self.getFeaturesCol(), F.col(self.getLabelCol()).cast("double").alias("y"))
         many, epsilon = data.rdd.getNumPartitions() > PARTS, self.getOrDefault(self.epsilon)
         solution = _solved(data, many, expand, None, epsilon, c)
         for _ in range(rounds):
@@ -155,48 +153,152 @@ class InsensitiveRegression(
         return LinearRegressionModel(made)
 
 
-def _solved(data: DataFrame, many: bool, expand: Callable | None, solution: np.ndarray | None, epsilon: float, c: float) -> np.ndarray:
-    """Coefficients and, last, the intercept of one round over (x, y); without a `solution` all rows weigh 1.
+class HingeMachine(
+    Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasRegParam, HasWeightCol, DefaultParamsReadable, DefaultParamsWritable
+):
+    """Linear support vector machine of two classes; minimises what Spark's LinearSVC does.
 
-    The sums of `many` tasks are added by PARTS tasks first.
+    That is the mean weighted hinge loss and half of `regParam` times the squared coefficients.  The loss is rounded off
+    around its edge, over narrower and narrower widths, and each round takes the best of some steps on Newton's way.  A
+    round is two passes in which tasks add up small sums; random Fourier features are made from their inputs in them.
     """
+
+    tolerance = Param(Params._dummy(), "tolerance", "relative gain of a round that ends the rounds of a width", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(
+        self, *, featuresCol="features", labelCol="label", predictionCol="prediction", weightCol=None, regParam=0.0, maxIter=100, tolerance=1e-4,
+    ):
+        super().__init__()
+        self._setDefault(regParam=0.0, maxIter=100, tolerance=1e-4)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, dataset: DataFrame) -> LinearSVCModel:
+        weight = F.col(self.getWeightCol()).cast("double") if self.isSet(self.weightCol) else F.lit(1.0)
+        label = F.when(F.col(self.getLabelCol()) > 0, 1.0).otherwise(-1.0)
+        data, expand = _inputs(dataset, self.getFeaturesCol(), label.alias("y"), weight.alias("w"))
+        many = data.rdd.getNumPartitions() > PARTS
+        penalty = self.getOrDefault(self.regParam) * (data.agg(F.sum("w")).first()[0] or 0.0)
+        solution, rounds, tolerance = _least_squares(data, many, expand, penalty), self.getOrDefault(self.maxIter), self.getOrDefault(self.tolerance)
+        for width in WIDTHS:
+            gain = 1.0
+            while rounds and gain > tolerance:
+                way = _newton_way(data, many, expand, solution, width, penalty)
+                losses = _losses(data, many, expand, solution, way, width, penalty)
+                best = int(np.argmin(losses))
+                gain, rounds = 1 - losses[best] / max(losses[0], 1e-300), rounds - 1
+                solution = solution + (0.0, *STEPS)[best] * way
+        data.unpersist()
+        context = dataset.sparkSession.sparkContext
+        made = context._jvm.org.apache.spark.ml.classification.LinearSVCModel(self.uid, _py2java(context, Vectors.dense(solution[:-1])), float(solution[-1]))
+        made.set("featuresCol", self.getFeaturesCol()).set("labelCol", self.getLabelCol()).set("predictionCol", self.getPredictionCol())
+        return LinearSVCModel(made)
+
+
+def _inputs(dataset: DataFrame, features: str, *columns: Column) -> tuple[DataFrame, Callable | None]:
+    """The persisted rows of a fit: `x`, for random features what they are made from, and `columns`; and what makes them."""
+    made = dataset.schema[features].metadata.get("fourier")
+    inputs, expand = features, None
+    if made is not None and made["source"] in dataset.columns:
+        inputs, expand = made["source"], _expansion(made["gamma"], made["size"], made["seed"])
+    return dataset.select(vector_to_array(F.col(inputs)).alias("x"), *columns).persist(StorageLevel.MEMORY_AND_DISK), expand
+
+
+def _least_squares(data: DataFrame, many: bool, expand: Callable | None, penalty: float) -> np.ndarray:
+    """Coefficients and, last, the intercept that fit (x, y, weight); the intercept is not penalised."""
+    def part(x, y, w):
+        both = np.column_stack([x, np.ones(len(y)), y])
+        return (both * w[:, None]).T @ both
+
+    total = _total(data, many, expand, part)
+    return np.linalg.lstsq(total[:-1, :-1] + _penalties(len(total) - 1, penalty), total[:-1, -1], rcond=None)[0]
+
+
+def _penalties(size: int, penalty: float) -> np.ndarray:
+    return np.diag([*[penalty] * (size - 1), 0.0])
+
+
+def _newton_way(data: DataFrame, many: bool, expand: Callable | None, solution: np.ndarray, width: float, penalty: float) -> np.ndarray:
+    """Newton's step from the solution for the loss that is rounded off over the width."""
+    def part(x, y, w):
+        x = np.column_stack([x, np.ones(len(y))])
+        slope = np.clip((1 - y * (x @ solution)) / width + 0.5, 0.0, 1.0)
+        curve = w * ((slope > 0) & (slope < 1)) / width
+        return np.vstack([(x * curve[:, None]).T @ x, -(w * slope * y) @ x])
+
+    total, held = _total(data, many, expand, part), _penalties(len(solution), penalty)
+    curves, slopes = total[:-1] + held, total[-1] + held @ solution
+    return -np.linalg.solve(curves + 1e-9 * max(np.trace(curves), 1e-300) / len(slopes) * np.eye(len(slopes)), slopes)
+
+
+def _losses(data: DataFrame, many: bool, expand: Callable | None, solution: np.ndarray, way: np.ndarray, width: float, penalty: float) -> np.ndarray:
+    """The whole loss at the solution and after each of the steps along the way."""
+    steps = (0.0, *STEPS)
+
+    def part(x, y, w):
+        x = np.column_stack([x, np.ones(len(y))])
+        gap, moved = 1 - y * (x @ solution), y * (x @ way)
+        found = []
+        for step in steps:
+            over = np.maximum(gap - step * moved + width / 2, 0.0)
+            found.append(w @ np.where(over < width, over * over / (2 * width), over - width / 2))
+        return np.array([found])
+
+    penalties = [penalty / 2 * np.sum((solution + step * way)[:-1] ** 2) for step in steps]
+    return _total(data, many, expand, part)[0] + penalties
+
+
+def _total(data: DataFrame, many: bool, expand: Callable | None, part: Callable) -> np.ndarray:
+    """The sum of the matrices that `part` gives for pieces of (x, y, ...); those of `many` tasks are added by PARTS tasks first."""
     # Nested, so that workers need no copy of this package.
     def sums(batches):
-        total = 0.0
+        total = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            inputs, labels = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), batch.column(1).to_numpy(zero_copy_only=False)
+            inputs = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            others = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
             for i in range(0, batch.num_rows, 1024):
-                x, y = inputs[i:i + 1024], labels[i:i + 1024]
-                x = expand(x) if expand else x
-                weight, goal = np.ones(len(y)), y
-                if solution is not None:
-                    now = x @ solution[:-1] + solution[-1]
-                    gap = y - now
-                    outside = np.abs(gap) - epsilon
-                    weight = np.where(outside > 0, 1.0 / np.maximum(outside, 1e-3), 1e-6)
-                    goal = np.where(outside > 0, y - epsilon * np.sign(gap), now)
-                both = np.column_stack([x, np.ones(len(y)), goal])
-                total = total + (both * weight[:, None]).T @ both
-        if np.ndim(total):
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["sums"])
+                x = inputs[i:i + 1024]
+                found = part(expand(x) if expand else x, *[c[i:i + 1024] for c in others])
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([len(total)]), pa.array([total.ravel()], pa.list_(pa.float64()))], ["height", "sums"])
 
     def added(batches):
-        total = 0.0
+        height, total = 0, 0.0
         for batch in batches:
-            total = total + batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).sum(axis=0) if batch.num_rows else total
-        if np.ndim(total):
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["sums"])
-
-    parts = data.mapInArrow(sums, "sums array<double>")
+            if batch.num_rows:
+                height = batch.column(0)[0].as_py()
+                total = total + batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).sum(axis=0)
+        if height:
+            yield pa.RecordBatch.from_arrays([pa.array([height]), pa.array([total], pa.list_(pa.float64()))], ["height", "sums"])
+
+    schema = "height bigint, sums array<double>"
+    parts = data.mapInArrow(sums, schema)
     if many:
-        parts = parts.repartition(PARTS).mapInArrow(added, "sums array<double>")
-    total = np.sum([np.array(r["sums"]) for r in parts.collect()], axis=0)
-    n = int(round(len(np.atleast_1d(total)) ** 0.5))
-    if n < 3:
+        parts = parts.repartition(PARTS).mapInArrow(added, schema)
+    found = parts.collect()
+    if not found:
         raise ValueError("no rows to fit")
-    total = total.reshape(n, n)
+    return np.sum([np.array(r["sums"]) for r in found], axis=0).reshape(found[0]["height"], -1)
+
+
+def _solved(data: DataFrame, many: bool, expand: Callable | None, solution: np.ndarray | None, epsilon: float, c: float) -> np.ndarray:
+    """Coefficients and, last, the intercept of one round over (x, y); without a `solution` all rows weigh 1."""
+    def part(x, y):
+        weight, goal = np.ones(len(y)), y
+        if solution is not None:
+            now = x @ solution[:-1] + solution[-1]
+            gap = y - now
+            outside = np.abs(gap) - epsilon
+            weight = np.where(outside > 0, 1.0 / np.maximum(outside, 1e-3), 1e-6)
+            goal = np.where(outside > 0, y - epsilon * np.sign(gap), now)
+        both = np.column_stack([x, np.ones(len(y)), goal])
+        return (both * weight[:, None]).T @ both
+
+    total = _total(data, many, expand, part)
+    n = len(total)
     inner, first, weight = total[:-2, :-2], total[:-2, -2], total[-2, -2]
     means, goal = first / weight, total[-2, -1] / weight
     coefficients = np.linalg.solve(inner - np.outer(first, means) + np.eye(n - 2) / c, total[:-2, -1] - first * goal)
