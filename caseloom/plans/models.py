@@ -20,7 +20,8 @@ from pyspark.util import inheritable_thread_target
 
 from caseloom.operators.metrics import classification_metrics
 from caseloom.plans.boosting import SoftmaxBoosting
-from caseloom.plans.kernels import FourierKernel, InsensitiveRegression, PenaltyByRows
+from caseloom.plans.kernels import FourierKernel, HingeMachine, InsensitiveRegression, PenaltyByRows
+from caseloom.plans.summed_classes import SummedClasses
 from caseloom.plans.summed_trees import SummedTrees
 
 RAW, SCALED = "raw_features", "features"
@@ -61,26 +62,24 @@ def classifiers(classes: int, rows: int, effort: float = 1.0, weight: str = "wei
     Weights balance the classes for all but gradient boosting.
     """
     trees, boosts = max(5, round(100 * effort)), max(5, round(100 * effort))
-    boosting = GBTClassifier(maxIter=boosts, stepSize=0.1, maxDepth=3, seed=SEED)
+    boosting = SummedClasses(GBTClassifier(maxIter=boosts, stepSize=0.1, maxDepth=3, seed=SEED))
     # One linear machine per class on kernel features; its margins are turned into probabilities by a
     # logistic fit (Platt).
-    machine = LinearSVC(
-        featuresCol="kernel_features", weightCol=weight, regParam=1.0 / max(1, rows), maxIter=max(10, round(100 * effort)),
-        predictionCol="svm_prediction", standardization=False,
-    )
+    held = dict(featuresCol="kernel_features", weightCol=weight, regParam=1.0 / max(1, rows), maxIter=max(10, round(100 * effort)), predictionCol="svm_prediction")
+    machine = HingeMachine(**held)
     if classes > 2:
         boosting = SoftmaxBoosting(classes=classes, maxIter=boosts, stepSize=0.1, maxDepth=3, seed=SEED)
         machine = OneVsRest(
-            classifier=machine, featuresCol="kernel_features", weightCol=weight, predictionCol="svm_prediction"
+            classifier=LinearSVC(standardization=False, **held), featuresCol="kernel_features", weightCol=weight, predictionCol="svm_prediction"
         )
     return {
         "Logistic Regression": [
             PenaltyByRows(LogisticRegression(weightCol=weight, standardization=False, maxIter=100))
         ],
         "Random Forest": [
-            RandomForestClassifier(
+            SummedClasses(RandomForestClassifier(
                 weightCol=weight, numTrees=trees, maxDepth=max(5, round(MAX_DEPTH * effort)), featureSubsetStrategy="sqrt", seed=SEED,
-            )
+            ))
         ],
         "Gradient Boosting": [boosting],
         "Support Vector Classifier": [

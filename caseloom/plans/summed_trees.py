@@ -105,7 +105,7 @@ class SummedTrees(Estimator):
         sizes = [len(p) + 1 for p in points]
         if not points or math.prod(sizes) >= 2**62:
             return made.fit(dataset)
-        coded = rows.select(_cell("features", points).alias("cell"), "label")
+        coded = rows.select(cell_numbers("features", points).alias("cell"), "label")
         unknown = F.col("label").isNull() | F.isnan("label")
         count, cells, bad = coded.agg(F.count("*"), F.approx_count_distinct("cell", 0.02), F.count_if(unknown)).first()
         if bad or cells > MAX_CELLS or cells * CELL_ROWS > count:
@@ -186,7 +186,7 @@ def _trees(table: DataFrame, fitted: list[DecisionTreeRegressionModel]):
     return package, found
 
 
-def _cell(features: str, points: list[list[float]]):
+def cell_numbers(features: str, points: list[list[float]]):
     """One number for the bins of all features."""
     place = _numbers_of_bins(points)
     strides = np.cumprod([1, *[len(p) + 1 for p in points[:-1]]])
