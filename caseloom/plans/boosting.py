@@ -1,7 +1,8 @@
 """Gradient boosting for any number of classes: one regression tree per class and round, on the gradients of the softmax.
 
 All trees of a round are fitted on the same rows, whose margins were moved by the rounds before; leaves take one Newton
-step.  Trees are Spark's regression trees, fitted side by side; only trees and sums per leaf reach the driver.
+step.  Trees are Spark's regression trees, fitted side by side; only trees and sums per leaf reach the driver.  Rows of one
+class whose features lie in the same bins have equal gradients, so trees are fitted on such groups where these are few.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.util import inheritable_thread_target
 
+from caseloom.plans.summed_classes import grouped_rows
+from caseloom.plans.summed_trees import BINNED
 from caseloom.session import cut_lineage
 
+#: Most bins of a feature that trees tell apart, as by default in Spark.
+BINS = 32
 #: Rounds whose trees are kept beside written margins before the margins are written anew.
 WRITTEN = 10
 
@@ -51,6 +56,11 @@ def tree_nodes(model: DecisionTreeRegressionModel) -> list[list[float]]:
     return nodes
 
 
+def _on_values(nodes: list[list[float]], points: list[list[float]]) -> list[list[float]]:
+    """The nodes of a tree over numbers of bins, for the values themselves."""
+    return [[f, points[f][int(t)], *ways] if f >= 0 else [f, t, *ways] for f, t, *ways in nodes]
+
+
 def leaf_numbers(nodes: list[list[float]], x: np.ndarray) -> np.ndarray:
     """The leaf of each row of `x`."""
     table = np.array(nodes)
@@ -113,11 +123,16 @@ class SoftmaxBoosting(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReada
 
     def _fit(self, dataset: DataFrame) -> SoftmaxBoostingModel:
         classes, rate, depth, seed = (self.getOrDefault(p) for p in (self.classes, self.stepSize, self.maxDepth, self.seed))
-        label = F.col(self.getLabelCol()).cast("int")
-        counts = {r["y"]: r["n"] for r in dataset.groupBy(label.alias("y")).agg(F.count("*").alias("n")).collect()}
+        label, features = F.col(self.getLabelCol()).cast("int"), self.getFeaturesCol()
+        groups = grouped_rows(dataset, features, label, F.lit(1.0), BINS)
+        if groups is None:
+            source, bins = dataset.select(F.col(features).alias("features"), label.alias("y"), F.lit(1.0).alias("n")), BINS
+        else:
+            source, bins = groups.table.select(F.col(BINNED).alias("features"), F.col("label").cast("int").alias("y"), F.col("n").cast("double").alias("n")), groups.bins
+        counts = {r["y"]: r["n"] for r in source.groupBy("y").agg(F.sum("n").alias("n")).collect()}
         total = sum(counts.values())
         start = [float(np.log(max(counts.get(k, 0), 1e-9) / max(1, total))) for k in range(classes)]
-        rows = cut_lineage(dataset.select(F.col(self.getFeaturesCol()).alias("features"), label.alias("y"), F.array(*[F.lit(s) for s in start]).alias("margins")))
+        rows = cut_lineage(source.withColumn("margins", F.array(*[F.lit(s) for s in start])))
         rounds, recent, importance = [], [], 0.0
         for number in range(self.getOrDefault(self.maxIter) if total else 0):
             now = moved_margins(vector_to_array("features"), F.col("margins"), recent, rate)
@@ -125,8 +140,8 @@ class SoftmaxBoosting(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReada
                 rows, recent = cut_lineage(rows.withColumn("margins", now)), []
                 now = F.col("margins")
             gap = F.transform(softmax(F.col("now")), lambda p, k: F.when(F.col("y") == k, 1.0).otherwise(0.0) - p)
-            current = rows.select("features", "y", now.alias("now")).select("features", gap.alias("gap")).persist(StorageLevel.MEMORY_AND_DISK)
-            fitted = self._round(current, classes, depth, seed + number)
+            current = rows.select("features", "y", "n", now.alias("now")).select("features", "n", gap.alias("gap")).persist(StorageLevel.MEMORY_AND_DISK)
+            fitted = self._round(current, classes, depth, bins, seed + number)
             trees = [tree_nodes(model) for model in fitted]
             trees = list(zip(trees, _leaf_values(current, trees, classes)))
             current.unpersist()
@@ -134,13 +149,15 @@ class SoftmaxBoosting(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReada
             rounds.append(trees)
             recent.append(trees)
         share = importance / max(float(np.sum(importance)), 1e-300)
+        if groups is not None:
+            rounds = [[(_on_values(nodes, groups.points), values) for nodes, values in trees] for trees in rounds]
         held = {"start": start, "rate": rate, "rounds": rounds, "importance": np.atleast_1d(share).tolist()}
         return SoftmaxBoostingModel(featuresCol=self.getFeaturesCol(), trees=json.dumps(held))
 
-    def _round(self, current: DataFrame, classes: int, depth: int, seed: int) -> list[DecisionTreeRegressionModel]:
+    def _round(self, current: DataFrame, classes: int, depth: int, bins: int, seed: int) -> list[DecisionTreeRegressionModel]:
         def fit(k: int) -> DecisionTreeRegressionModel:
-            own = current.select("features", F.col("gap")[k].alias("goal"))
-            return DecisionTreeRegressor(labelCol="goal", maxDepth=depth, seed=seed).fit(own)
+            own = current.select("features", "n", F.col("gap")[k].alias("goal"))
+            return DecisionTreeRegressor(labelCol="goal", weightCol="n", maxDepth=depth, maxBins=bins, seed=seed).fit(own)
 
         with ThreadPool(min(8, classes)) as pool:
             return pool.map(inheritable_thread_target(current.sparkSession)(fit), range(classes), chunksize=1)
@@ -151,15 +168,15 @@ def _leaf_values(current: DataFrame, trees: list, classes: int) -> list[list[flo
     def sums(batches):
         total = [np.zeros((2, len(t))) for t in trees]
         for batch in batches:
-            x, gap = _matrix(batch.column(0)), _matrix(batch.column(1))
+            x, gap, n = _matrix(batch.column(0)), _matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
             for k, nodes in enumerate(trees):
                 leaf, size = leaf_numbers(nodes, x), np.abs(gap[:, k])
-                total[k] += [np.bincount(leaf, v, len(nodes)) for v in (gap[:, k], size * (1 - size))]
+                total[k] += [np.bincount(leaf, n * v, len(nodes)) for v in (gap[:, k], size * (1 - size))]
         for k, table in enumerate(total):
             n = table.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array([k] * n), pa.array(range(n)), pa.array(table[0]), pa.array(table[1])], ["k", "leaf", "gap", "curve"])
 
-    found = current.select(vector_to_array("features").alias("x"), "gap").mapInArrow(sums, "k bigint, leaf bigint, gap double, curve double")
+    found = current.select(vector_to_array("features").alias("x"), "gap", "n").mapInArrow(sums, "k bigint, leaf bigint, gap double, curve double")
     values = [[0.0] * len(t) for t in trees]
     for r in found.groupBy("k", "leaf").agg(F.sum("gap").alias("gap"), F.sum("curve").alias("curve")).collect():
         values[r["k"]][r["leaf"]] = (classes - 1) / classes * r["gap"] / r["curve"] if r["curve"] > 1e-150 else 0.0
