@@ -133,3 +133,17 @@ def test_the_hinge_machine_is_no_worse_than_a_linear_machine_on_stored_features(
         return np.average(np.maximum(0, 1 - (2 * label - 1) * f), weights=w) + np.sum(model.coefficients.toArray() ** 2) / 6000
 
     assert objective(HingeMachine(**held).fit(mapped)) <= 1.002 * objective(LinearSVC(standardization=False, **held).fit(mapped))
+
+
+def test_fits_of_a_run_are_spread_over_tasks(spark, monkeypatch):
+    """The prepared rows lie in one partition, as joins of a small table leave them; fits read them by more than one task."""
+    def watched(rows, *_, **__):
+        held = rows.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in held) == 480 and len(held) == 5 and max(r["count"] for r in held) <= 110
+        raise Seen
+
+    monkeypatch.setattr(runs, "TASK_ROWS", 100)
+    monkeypatch.setattr(runs, "fit_models", watched)
+    rows = spark.range(0, 600, 1, 1).select((F.col("id") * 1.0).alias("a"), (F.col("id") % 7 * 1.0).alias("b"), (F.col("id") * 3 + F.col("id") % 7).cast("double").alias("goal"))
+    with pytest.raises(Seen):
+        runs.train(rows, "goal", folds=0, only=["Ridge Regression"])
